@@ -66,13 +66,13 @@ def target(deciles: DataFrame, depths: Iterable[int]) -> DataFrame:
     """Per targeting depth, what the deciles up to it hold, beside what the whole base holds."""
     reached = f"filter(array({', '.join(map(str, depths))}), depth -> depth >= decile)"
     return grouped(
+        # The base is summed before its rows are multiplied by depth.
         deciles.selectExpr(
             "*",
-            f"explode({reached}) AS deciles_targeted",
             "sum(customers) OVER () AS base_customers",
             "sum(churners) OVER () AS base_churners",
             "sum(churn_revenue_monthly) OVER () AS base_revenue",
-        ),
+        ).selectExpr("*", f"explode({reached}) AS deciles_targeted"),
         {"deciles_targeted": "deciles_targeted"},
         {
             "customers_contacted": "sum(customers)",

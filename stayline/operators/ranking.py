@@ -76,7 +76,8 @@ def auc(df: DataFrame, score: str, label: str, by: str | None = None) -> DataFra
     # Ranks run through all groups: shift each group's to start at one.
     shift = "positives * CAST(2 * (first_rank - 1) + positives + 1 AS DECIMAL(19,0))"
     pairs = "2 * CAST(positives AS DOUBLE) * CAST(negatives AS DOUBLE)"
-    return sums.selectExpr(*keys.values(), f"{ratio(f'(twice_ranks - {shift})', pairs)} AS auc").orderBy(*keys)
+    areas = sums.selectExpr(*keys.values(), f"{ratio(f'(twice_ranks - {shift})', pairs)} AS auc")
+    return areas.orderBy(*keys) if keys else areas
 
 
 def stratified_split(

@@ -98,6 +98,12 @@ def tenure_hazard(accounts: DataFrame) -> DataFrame:
     )
 
 
+def _per_segment(curve: DataFrame, by: str | None, measures: dict[str, str]) -> DataFrame:
+    if not by:
+        return grouped(curve, {}, measures)
+    return grouped(curve, {"segment": "segment"}, measures).orderBy("segment")
+
+
 def _with_area(curve: DataFrame, by: str | None, horizon: int) -> DataFrame:
     """Area of each step up to the horizon; the last step before it is held to it."""
     following = f"lead(tenure_month, 1, {horizon}) OVER ({_per_curve(by)}ORDER BY tenure_month)"
@@ -116,17 +122,13 @@ _MEDIAN = "CAST(min(tenure_month) FILTER (WHERE survival <= 0.5D) AS DOUBLE)"
 
 def restricted_mean(accounts: DataFrame, by: str | None = None, horizon: int = DEFAULTS.horizon_months) -> DataFrame:
     """Expected months on book up to a horizon: the area under the curve."""
-    return grouped(
-        _with_area(curves(accounts, by), by, horizon),
-        {key: key for key in _keys(by)},
-        {"expected_months_to_horizon": _restricted_mean(horizon)},
-    ).orderBy(*_keys(by))
+    return _per_segment(
+        _with_area(curves(accounts, by), by, horizon), by, {"expected_months_to_horizon": _restricted_mean(horizon)}
+    )
 
 
 def median_survival(accounts: DataFrame, by: str | None = None) -> DataFrame:
-    return grouped(
-        curves(accounts, by), {key: key for key in _keys(by)}, {"median_tenure_months": _MEDIAN}
-    ).orderBy(*_keys(by))
+    return _per_segment(curves(accounts, by), by, {"median_tenure_months": _MEDIAN})
 
 
 def survival_summary(
