@@ -6,9 +6,10 @@ expression, which also keeps building a wide projection cheap on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MONEY = "DECIMAL(20,2)"
 
@@ -36,6 +37,12 @@ def grouped(df: DataFrame, keys: Mapping[str, str], measures: Mapping[str, str])
     return df.groupBy(*columns(keys)).agg(*columns(measures))
 
 
+def few_rows(spark: SparkSession, names: Iterable[str], rows: Iterable[Iterable[str]]) -> DataFrame:
+    """A handful of rows of literal texts as a relation the optimizer can fold."""
+    values = ", ".join(f"({', '.join(row)})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(map(quoted, names))})")
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -44,9 +51,10 @@ def literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def number(value: float) -> str:
-    """A double literal; plain decimals in SQL text would be DECIMAL."""
-    return f"CAST({float(value)!r} AS DOUBLE)"
+def number(value: float | None) -> str:
+    """A double literal, NULL if undefined; plain decimals in SQL text would be DECIMAL."""
+    known = value is not None and math.isfinite(value)
+    return f"CAST({repr(float(value)) if known else 'NULL'} AS DOUBLE)"
 
 
 def flag(condition: str) -> str:

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..functions.columns import grouped
+from ..functions.columns import few_rows, grouped, literal, number
 from .survival import tenure_grid
 
 
@@ -87,16 +87,15 @@ def logrank_test(accounts: DataFrame, by: str = "contract_type") -> DataFrame:
 
     Only the cells of the segment x segment matrix come to the driver.
     """
-    cells = _moments(accounts, by).toPandas().sort_values(["segment", "peer"])
-    segments = sorted(cells["segment"].unique().tolist())
-    matrix = cells.pivot(index="segment", columns="peer", values="covariance").to_numpy()
-    totals = cells.drop_duplicates("segment")
-    gap = (totals["observed"] - totals["expected"]).to_numpy()[:-1]
-    dof = max(len(segments) - 1, 0)
-    statistic = float(gap @ np.linalg.pinv(matrix[:-1, :-1]) @ gap) if dof else 0.0
-    row = (statistic, dof, chi_square_tail(statistic, dof), segments)
-    schema = "statistic double, degrees_of_freedom int, p_value double, groups array<string>"
-    return accounts.sparkSession.createDataFrame([row], schema)
+    cells = {(row.segment, row.peer): row for row in _moments(accounts, by).collect()}
+    segments = sorted({segment for segment, _ in cells})
+    gap = np.array([cells[name, name].observed - cells[name, name].expected for name in segments[:-1]])
+    covariance = np.array([[cells[a, b].covariance for b in segments[:-1]] for a in segments[:-1]])
+    dof = len(gap)
+    statistic = float(gap @ np.linalg.pinv(covariance) @ gap) if dof else 0.0
+    names = f"CAST(array({', '.join(map(literal, segments))}) AS ARRAY<STRING>)"
+    row = (number(statistic), str(dof), number(chi_square_tail(statistic, dof)), names)
+    return few_rows(accounts.sparkSession, ("statistic", "degrees_of_freedom", "p_value", "groups"), [row])
 
 
 def chi_square_tail(x: float, dof: int) -> float:

@@ -16,7 +16,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..assumptions import DEFAULTS, Assumptions
-from ..functions.columns import grouped, literal, named, number, quoted
+from ..functions.columns import few_rows, grouped, literal, named, number, quoted
 from . import ranking
 
 # Model fields. The count of add-ons is the sum of six of them and stays out.
@@ -134,10 +134,10 @@ class DriverModel:
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """One row per term with odds ratio, 95 % Wald bounds and p-value; the intercept is left out."""
         rows = [
-            (term, weight, self.standard_errors[term], _two_sided(weight, self.standard_errors[term]))
-            for term, weight in self.weights.items()
+            (literal(term), number(weight), number(error), number(_two_sided(weight, error)))
+            for (term, weight), error in zip(self.weights.items(), self.standard_errors.values())
         ]
-        table = spark.createDataFrame(rows, "term string, coefficient double, error double, p_value double")
+        table = few_rows(spark, ("term", "coefficient", "error", "p_value"), rows)
         reach = f"{number(WALD_QUANTILE)} * error"
         return table.selectExpr(
             "term",
@@ -149,8 +149,8 @@ class DriverModel:
         ).orderBy(F.desc("odds_ratio"), "term")
 
 
-def _two_sided(weight: float, error: float) -> float:
-    return math.erfc(abs(weight / error) / math.sqrt(2)) if error else float("nan")
+def _two_sided(weight: float, error: float) -> float | None:
+    return math.erfc(abs(weight / error) / math.sqrt(2)) if error else None
 
 
 def fit(split_accounts: DataFrame) -> DriverModel:

@@ -15,6 +15,7 @@ from ..functions.columns import grouped, literal, quoted, ratio, share_of
 from ..sources import scratch
 
 ROW = "_row"
+STRATUM = "is_churned"
 _PLACE = "_place"
 _PART = "_part"
 _FIRST = "_first"
@@ -30,18 +31,25 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     return scratch.table(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
-def number(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Add 1-based ``rn`` by the given order, and the row count ``n``, to rows with ids."""
-    placed = scratch.table(
-        rows.orderBy(*order, ROW).withColumn(_PLACE, F.monotonically_increasing_id()), "sorted"
-    ).selectExpr("*", f"shiftright({_PLACE}, {_PLACE_BITS}) AS {_PART}")
+def _placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows in a unique global order, as a written table that knows each row's partition and place."""
+    in_order = rows.orderBy(*order).withColumn(_PLACE, F.monotonically_increasing_id())
+    return scratch.table(in_order, "sorted").selectExpr("*", f"shiftright({_PLACE}, {_PLACE_BITS}) AS {_PART}")
+
+
+def _starts(placed: DataFrame, size: str) -> DataFrame:
+    """What the partitions before each one hold, and the total: at most spark.sql.shuffle.partitions rows."""
     earlier = f"(ORDER BY {_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    starts = grouped(placed, {_PART: _PART}, {"size": "count(1)"}).selectExpr(
+    return grouped(placed, {_PART: _PART}, {"size": size}).selectExpr(
         _PART, f"coalesce(sum(size) OVER {earlier}, 0) AS {_FIRST}", "sum(size) OVER () AS n"
     )
-    # One row per sorted partition, so at most spark.sql.shuffle.partitions rows.
+
+
+def number(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Add 1-based ``rn`` by the given order, and the row count ``n``, to rows with ids."""
+    placed = _placed(rows, *order, ROW)
     return (
-        placed.join(F.broadcast(starts), _PART)
+        placed.join(F.broadcast(_starts(placed, "count(1)")), _PART)
         .withColumn("rn", F.expr(f"{_FIRST} + ({_PLACE} & {(1 << _PLACE_BITS) - 1}L) + 1"))
         .drop(_PART, _PLACE, _FIRST)
     )
@@ -54,22 +62,26 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, by: str | None = None) -> DataFrame:
     """Exact Mann-Whitney area under the ROC curve; tied scores count half.
 
-    Ties are settled by the mean rank of each distinct score, in whole-number arithmetic.
+    Rows collapse to one per distinct score, partly before the shuffle. Scores are then ranked
+    with all their rows at the mean rank, in whole-number arithmetic.
     """
     keys = {by: quoted(by)} if by else {}
-    rows = with_row_ids(df.select(*keys, F.col(score).alias("score"), F.col(label).alias("label")))
-    tied = grouped(
-        number(rows, *keys, "score"),
-        {**keys, "score": "score"},
-        {"positives": "sum(label)", "size": "count(1)", "first_rank": "min(rn)", "twice_rank": "min(rn) + max(rn)"},
+    tied = grouped(df, {**keys, "score": quoted(score)}, {"positives": f"sum({quoted(label)})", "size": "count(1)"})
+    placed = _placed(tied, *keys, "score")
+    order = ", ".join([*keys.values(), "score"])
+    before = f"sum(size) OVER (PARTITION BY {_PART} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ranks = (
+        placed.selectExpr("*", f"coalesce({before}, 0) AS _before")
+        .join(F.broadcast(_starts(placed, "sum(size)")), _PART)
+        .selectExpr(*keys.values(), "positives", "size", f"{_FIRST} + _before + 1 AS first_rank")
     )
     sums = grouped(
-        tied,
+        ranks,
         keys,
         {
             "positives": "CAST(sum(positives) AS DECIMAL(18,0))",
             "negatives": "CAST(sum(size - positives) AS DECIMAL(18,0))",
-            "twice_ranks": "sum(CAST(positives AS DECIMAL(18,0)) * CAST(twice_rank AS DECIMAL(19,0)))",
+            "twice_ranks": "sum(CAST(positives AS DECIMAL(18,0)) * CAST(2 * first_rank + size - 1 AS DECIMAL(19,0)))",
             "first_rank": "CAST(min(first_rank) AS DECIMAL(18,0))",
         },
     )
@@ -81,13 +93,9 @@ def auc(df: DataFrame, score: str, label: str, by: str | None = None) -> DataFra
 
 
 def stratified_split(
-    df: DataFrame,
-    stratum: str = "is_churned",
-    key: str = "customer_id",
-    share: str = DEFAULTS.test_share,
-    seed: int = DEFAULTS.seed,
+    df: DataFrame, key: str = "customer_id", share: str = DEFAULTS.test_share, seed: int = DEFAULTS.seed
 ) -> DataFrame:
-    """Add ``split``: exactly the given share of each stratum, rounded, is 'test'.
+    """Add ``split``: exactly the given share, rounded, of leavers and of stayers is 'test'.
 
     Rows are drawn in the order of a hash of key and seed. Only that narrow key is sorted;
     the frame itself is compared with the last drawn key of its stratum and not shuffled.
@@ -95,15 +103,15 @@ def stratified_split(
     columns = df.columns
     draw = f"md5(CAST({quoted(key)} AS STRING) || {literal(f'|{seed}')}) AS _draw"
     rows = with_row_ids(df.selectExpr("*", draw))
-    drawn = number(rows.select(stratum, "_draw", key, ROW), stratum, "_draw", key)
+    drawn = number(rows.select(STRATUM, "_draw", key, ROW), STRATUM, "_draw", key)
     place = f"struct(_draw, {quoted(key)}, {ROW})"
-    strata = grouped(drawn, {stratum: quoted(stratum)}, {_FIRST: "min(rn)", "_size": "count(1)"})
-    # One row per stratum.
+    # The stratum is a 0/1 flag, so these are two rows each.
+    strata = grouped(drawn, {STRATUM: STRATUM}, {_FIRST: "min(rn)", "_size": "count(1)"})
     last = (
-        drawn.join(F.broadcast(strata), stratum)
+        drawn.join(F.broadcast(strata), STRATUM)
         .filter(f"rn = {_FIRST} + {share_of('_size', share)} - 1")
-        .selectExpr(quoted(stratum), f"{place} AS _last")
+        .selectExpr(STRATUM, f"{place} AS _last")
     )
-    return rows.join(F.broadcast(last), stratum, "left").selectExpr(
+    return rows.join(F.broadcast(last), STRATUM, "left").selectExpr(
         *[quoted(name) for name in columns], f"CASE WHEN {place} <= _last THEN 'test' ELSE 'train' END AS split"
     )

@@ -13,15 +13,16 @@ from .views import create_staging
 class Analysis:
     """Every result of one account book.
 
-    Accounts, scored accounts and the two small tables the economics rest on are written
-    once and read back; everything else stays lazy on top of them.
+    The extract, the accounts, the scored accounts and the two small tables the economics rest
+    on are written once and read back; everything else stays lazy on top of them.
     """
 
     def __init__(self, raw: DataFrame, staging_path: str | None = None, assumptions: Assumptions = DEFAULTS):
         spark = raw.sparkSession
-        self.raw = raw
+        # Read twice, for staging and for the quality log.
+        self.raw = scratch.table(raw, "raw")
         self.assumptions = assumptions
-        self.accounts = create_staging(raw, staging_path or scratch.path(spark, "customers"))
+        self.accounts = create_staging(self.raw, staging_path or scratch.path(spark, "customers"))
 
         self.hazard = survival.kaplan_meier(self.accounts)
         self.survival_by_contract = scratch.table(

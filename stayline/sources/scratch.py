@@ -38,3 +38,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
     where = path(spark, name)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables this application wrote, once nothing that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(folder(spark))
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
