@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import quoted
 from ..operators import (
@@ -81,7 +81,9 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_scorecard(book: DataFrame) -> DataFrame:
-    return model.with_score(book, SCORECARD, SCORECARD_INTERCEPT, SCORECARD_LEVELS)
+    """Scorecard probabilities to nine places: accounts with the same points must tie in any engine."""
+    scores = model.with_score(book, SCORECARD, SCORECARD_INTERCEPT, SCORECARD_LEVELS)
+    return scores.withColumn("churn_probability", F.expr("floor(churn_probability * 1e9D + 0.5D) / 1e9D"))
 
 
 def scored(book: DataFrame) -> DataFrame:
