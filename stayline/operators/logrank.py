@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from ..functions.columns import few_rows, grouped, literal, number
 from .survival import tenure_grid
 
+# The test ends on a segment x segment matrix.
+MAX_SEGMENTS = 1000
+
 
 def event_grid(accounts: DataFrame, by: str) -> DataFrame:
     """For every month, each segment's at-risk count, leavers and expected leavers.
@@ -87,7 +90,10 @@ def logrank_test(accounts: DataFrame, by: str = "contract_type") -> DataFrame:
 
     Only the cells of the segment x segment matrix come to the driver.
     """
-    cells = {(row.segment, row.peer): row for row in _moments(accounts, by).collect()}
+    found = _moments(accounts, by).limit(MAX_SEGMENTS**2 + 1).collect()
+    if len(found) > MAX_SEGMENTS**2:
+        raise ValueError(f"more than {MAX_SEGMENTS} segments in {by}: not a grouping to test")
+    cells = {(row.segment, row.peer): row for row in found}
     segments = sorted({segment for segment, _ in cells})
     gap = np.array([cells[name, name].observed - cells[name, name].expected for name in segments[:-1]])
     covariance = np.array([[cells[a, b].covariance for b in segments[:-1]] for a in segments[:-1]])

@@ -16,7 +16,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..assumptions import DEFAULTS, Assumptions
-from ..functions.columns import few_rows, grouped, literal, named, number, quoted
+from ..functions.columns import few_rows, grouped, literal, named, number, quoted, ratio
 from . import ranking
 
 # Model fields. The count of add-ons is the sum of six of them and stays out.
@@ -200,6 +200,21 @@ def fit_stats(model: DriverModel, scored: DataFrame) -> DataFrame:
     )
 
 
+def likelihood_equations(model: DriverModel, split_accounts: DataFrame) -> DataFrame:
+    """Per term, the sum of residual times term on the training rows, relative to the term's own sum.
+
+    All are zero where the likelihood is at its maximum.
+    """
+    terms = {"intercept": "1D", **design_terms(model.levels)}
+    residual = "(is_churned - churn_probability)"
+    sums = grouped(
+        model.score(split_accounts.filter("split = 'train'")),
+        {},
+        {term: ratio(f"sum({residual} * ({sql}))", f"sum(abs({sql}))") for term, sql in terms.items()},
+    )
+    return sums.unpivot([], list(terms), "term", "relative_residual").orderBy("term")
+
+
 def split_accounts(accounts: DataFrame, assumptions: Assumptions = DEFAULTS) -> DataFrame:
     return ranking.stratified_split(accounts, share=assumptions.test_share, seed=assumptions.seed)
 

@@ -173,6 +173,10 @@ def _fit_stats(book: DataFrame) -> DataFrame:
     return model.fit_stats(fitted, fitted.score(split))
 
 
+def _likelihood_equations(book: DataFrame) -> DataFrame:
+    return model.likelihood_equations(*_fitted(book))
+
+
 def _metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Analysis(raw(spark, sf_dir)).metrics_document()
 
@@ -264,6 +268,7 @@ QUERIES: dict[str, Query] = {
     "fct_customer_risk": _on_accounts(lambda book: dashboard.customer_risk(scored(book))),
     # The fitted model
     "driver_odds_ratios": _on_staged(_coefficients),
+    "likelihood_equations": _on_staged(_likelihood_equations),
     "model_fit_stats": _on_staged(_fit_stats),
     "significant_drivers": _on_staged(lambda book: model.significant_drivers(_coefficients(book))),
     "top_terms": _on_staged(lambda book: model.top_terms(_coefficients(book))),

@@ -4,7 +4,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from stayline.operators import model
+from stayline.operators import model, targeting
 from stayline.plans import registry, report
 from stayline.sources import scratch
 from tests.frames import book, rows
@@ -21,15 +21,15 @@ def fitted(spark):
 
 
 def test_likelihood_equations_hold(fitted):
-    model_, split = fitted
-    terms = model.design_terms(model_.levels)
-    train = model_.score(split).filter("split = 'train'")
-    scores = train.selectExpr(
-        "sum(is_churned - churn_probability) AS intercept",
-        *[f"sum((is_churned - churn_probability) * ({sql})) AS `{term}`" for term, sql in terms.items()],
-    ).first()
-    # At the maximum every residual sum vanishes; bills and tenures add up to some 300,000.
-    assert max(abs(value) for value in scores) < 1e-3
+    found = {row["term"]: row["relative_residual"] for row in rows(model.likelihood_equations(*fitted))}
+    assert set(found) == {"intercept", *fitted[0].weights} and len(found) == 21
+    assert max(map(abs, found.values())) < 1e-8
+
+
+def test_deciles_of_the_holdout_alone(fitted):
+    scored = targeting.scored_accounts(fitted[0].score(fitted[1]), split="test")
+    sizes = [row["customers"] for row in rows(targeting.decile_table(scored))]
+    assert sizes == [45] * 10
 
 
 def test_standard_errors_come_from_the_information_matrix(fitted):

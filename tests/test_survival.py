@@ -151,6 +151,13 @@ def test_logrank_without_leavers(spark):
     assert (test["statistic"], test["degrees_of_freedom"], test["p_value"]) == (0.0, 1, 1.0)
 
 
+def test_too_many_segments_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(logrank, "MAX_SEGMENTS", 3)
+    accounts = book(spark, *[{"Contract": f"plan {i}", "Churn": "Yes"} for i in range(4)])
+    with pytest.raises(ValueError, match="segments"):
+        logrank.logrank_test(accounts)
+
+
 def test_chi_square_tail():
     assert logrank.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05)
     assert logrank.chi_square_tail(5.991464547107979, 2) == pytest.approx(0.05)
