@@ -13,8 +13,8 @@ from .views import create_staging
 class Analysis:
     """Every result of one account book.
 
-    The extract, the accounts, the scored accounts and the two small tables the economics rest
-    on are written once and read back; everything else stays lazy on top of them.
+    The extract, the accounts, the scored accounts and the small tables other results rest on
+    are written once and read back; everything else stays lazy on top of them.
     """
 
     def __init__(self, raw: DataFrame, staging_path: str | None = None, assumptions: Assumptions = DEFAULTS):
@@ -28,7 +28,8 @@ class Analysis:
         self.survival_by_contract = scratch.table(
             survival.survival_summary(self.accounts, "contract_type", assumptions.horizon_months), "summary"
         )
-        months = survival.months_gained(self.survival_by_contract)
+        months = survival.months_gained(self.survival_by_contract).first().months_gained
+        self.months_gained = F.lit(months).cast("double")
 
         split = model.split_accounts(self.accounts, assumptions)
         self.model = model.fit(split)
@@ -36,9 +37,10 @@ class Analysis:
         self.scored = scratch.table(targeting.scored_accounts(self.model.score(split)), "scored")
         self.deciles = scratch.table(targeting.decile_table(self.scored), "deciles")
 
-        self.months_gained = months.scalar()
         self.segments = metrics.segment_revenue_lost(self.accounts)
-        self.options = economics.programme_options(self.deciles, self.months_gained, assumptions=assumptions)
+        self.options = scratch.table(
+            economics.programme_options(self.deciles, self.months_gained, assumptions=assumptions), "options"
+        )
         self.sensitivity = economics.breakeven_sensitivity(self.deciles, self.months_gained, assumptions)
 
     def tables(self) -> dict[str, DataFrame]:
