@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
-from . import byte_bpe, elias_fano, exact_topk, language_id, packing, quality_rules, token_counts, warc
+from . import byte_bpe, elias_fano, exact_topk, jaccard_join, language_id, oracle, packing, quality_rules, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_pretokens")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, by document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.spans(docs).select(
+        "doc_id", "span", "first_word", "end_word", "removed_words", "source_id"
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by merge replay, and the bytes they decode to, as digests."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -86,6 +94,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(rows, 2048)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similar_groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written in ascending doc_id order and read back."""
     path = scratch.path(spark, "tokens")
@@ -95,15 +109,21 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_elias_fano": op10_elias_fano,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.STATEMENTS)
