@@ -24,8 +24,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-NODES = 400_000
+NODES = 800_000
 PRE_TOKENS = re.compile("\n| ?[^ \n]+| ")
+#: Bits for the number of a word's tokens.
+COUNT = 40
 _tries: dict[str, "Trie"] = {}
 
 
@@ -49,27 +51,28 @@ class Trie(dict):
         for piece in scores:
             for start in range(len(piece)):
                 self.tails.setdefault(piece[start:], None)
-        self.tails.update(scores)
+        self.tails.update({piece: (score << COUNT) - 1 for piece, score in scores.items()})
         self.worst = min(scores.values()) - 10_000
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.child: dict[tuple[int, str], int] = {}
-        self.forward: list[tuple[int, int]] = [(0, 0)]  # by node: best score, minus its number of tokens
+        self.child: dict[int, int] = {}  # by node and character
+        # By node: best score times 2**COUNT less its number of tokens, so that the larger one is the better one.
+        self.forward: list[int] = [0]
 
-    def step(self, word: str, end: int, path: list[tuple[int, int]]) -> tuple[int, int]:
+    def step(self, word: str, end: int, path: list[int]) -> int:
         """Best score and count of word[:end], from those of its prefixes."""
-        best = None
-        if word[end - 1] not in self.tails or self.tails[word[end - 1]] is None:
+        best, tails = None, self.tails
+        if tails.get(word[end - 1]) is None:
             size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            best = (path[end - 1][0] + size * self.worst, path[end - 1][1] - size)
+            best = path[end - 1] + (size * self.worst << COUNT) - size
         for start in range(end - 1, -1, -1):
             tail = word[start:end]
-            if tail not in self.tails:
+            if tail not in tails:
                 break
-            if (score := self.tails[tail]) is not None:
-                found = (path[start][0] + score, path[start][1] - 1)
+            if (score := tails[tail]) is not None:
+                found = path[start] + score
                 if best is None or found > best:
                     best = found
         return best
@@ -79,13 +82,14 @@ class Trie(dict):
             self.reset()
         node, path = 0, [self.forward[0]]
         for end, letter in enumerate(word, 1):
-            below = self.child.get((node, letter))
+            edge = node << 21 | ord(letter)
+            below = self.child.get(edge)
             if below is None:
-                below = self.child[node, letter] = len(self.forward)
+                below = self.child[edge] = len(self.forward)
                 self.forward.append(self.step(word, end, path))
             node = below
             path.append(self.forward[node])
-        count = self[word] = -self.forward[node][1]
+        count = self[word] = -self.forward[node] & ((1 << COUNT) - 1)
         return count
 
 
