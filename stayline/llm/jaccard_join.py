@@ -10,12 +10,13 @@ within the first n - ceil(t n) + l of each. Longer prefixes thus require more sh
 2. Order. The shingles of the sets left are counted and ordered from rare to frequent. Each set lengthens its prefix to
    the l of least estimated cost: the lists it has to be met in, plus the verification of the candidates, which are at
    most the list entries divided by l.
-3. Stars. In rounds, each list's hub (drawn anew) is the candidate of its members; a member verifies its most frequent
-   hub. Verified links contract to components, and lists within one component are done. Groups of copies collapse
-   here without meeting in pairs.
-4. Rest. In lists that still span components, members outside the list's largest component meet all others of other
-   components; pairs with l shared prefix shingles (l of the less demanding set) are verified. So no link between
-   different components is lost, whatever the rounds found.
+3. Stars. In rounds, each list's hub (a member with few shingles of its own, drawn anew) is the candidate of its
+   members; a member verifies its most frequent hub. Verified links contract to components, and lists within one
+   component are done. Most groups of copies collapse here without meeting in pairs.
+4. Rest. In lists that still span components, members of short lists meet in pairs, and those that share l prefix shingles
+   (l of the less demanding set) are verified. Long lists form clusters, whose sets meet once, block by block, inside
+   tasks; only links that join components are sent on. So no link between different components is lost, whatever the
+   rounds found.
 
 Results: null and empty texts have 0 shingles and are linked with nothing; fewer than five words are one shingle; repeated
 rows, and different texts with equal sets, share a component; a row without an id belongs to its set's component; a
@@ -39,7 +40,9 @@ SIMILAR = 75  # in hundredths
 BUCKET = 1_000_000
 LONGEST = 8
 VERIFY = 4.0
-FRUITFUL = 20  # a star round is followed by another while it merges one in so many of the open sets
+SHORT = 64
+BLOCK = 400_000
+FRUITFUL = 4  # a star round is followed by another while it merges one in so many of the open sets
 _known = WordHashes()
 _upper = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -270,6 +273,11 @@ def _merged(home: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.select("name", F.coalesce("label", "home").alias("home")), "homes")
 
 
+def _draw(turn: int) -> Column:
+    """Order in which members become hubs: those with few shingles of their own first, anew in every turn."""
+    return F.expr(f"place / n + 0.1D * (turn - 1) * pmod(xxhash64(name, turn), 1000) / 1000".replace("turn", str(turn)))
+
+
 def links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     """name, home: the component of each name that stands in a list."""
     home = written(entries.select("name").distinct().withColumn("home", F.col("name")), "homes")
@@ -277,7 +285,7 @@ def links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     while True:
         turn += 1
         placed = entries.join(home, "name")
-        hub = F.min(F.struct(F.xxhash64("name", F.lit(turn)).alias("draw"), "name", "n", "home")).alias("hub")
+        hub = F.min(F.struct(_draw(turn).alias("draw"), "name", "n", "home")).alias("hub")
         lists = placed.groupBy("token").agg(hub, F.min("home").alias("low"), F.max("home").alias("high"))
         lists = lists.where("low <> high").select("token", "hub")
         candidates = (
@@ -299,33 +307,96 @@ def links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
         if merges * FRUITFUL < tried:
             break
     placed = entries.join(home, "name")
-    sizes = placed.groupBy("token", "home").agg(F.count("*").alias("size"))
-    main = (
-        sizes.groupBy("token")
-        .agg(F.max(F.struct("size", "home")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select("token", F.col("main.home").alias("main"))
-    )
-    open_lists = written(placed.join(main, "token"), "open")
-    left = open_lists.where("home <> main").select(*[F.col(c).alias(f"{c}1") for c in open_lists.columns])
-    right = open_lists.select(*[F.col(c).alias(f"{c}2") for c in open_lists.columns])
+    spans = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("home").alias("low"), F.max("home").alias("high"))
+    open_lists = written(placed.join(spans.where("low <> high").select("token", "size"), "token"), "open")
+    short = _short_links(open_lists.where(F.col("size") <= SHORT), tokens)
+    long = _long_links(open_lists.where(F.col("size") > SHORT), home, tokens)
+    found = written(short.union(long), "links")
+    return home if found.isEmpty() else _merged(home, found)
+
+
+def _short_links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between members of short lists: pairs that share l prefix shingles, verified."""
+    left = entries.select(*[F.col(c).alias(f"{c}1") for c in entries.columns])
+    right = entries.select(*[F.col(c).alias(f"{c}2") for c in entries.columns])
     shortest = F.least("l1", "l2")
 
     def within(side: str) -> Column:
         return F.col(f"place{side}") < F.expr(f"n{side} - ceil({SIMILAR} * n{side} / 100)") + shortest
 
     pairs = (
-        left.join(right, F.col("token1") == F.col("token2"))
+        left.join(right, (F.col("token1") == F.col("token2")) & (F.col("name1") < F.col("name2")))
         .where((F.col("home1") != F.col("home2")) & _alike("n1", "n2"))
-        .where((F.col("home2") == F.col("main2")) | (F.col("name1") < F.col("name2")))
         .where(within("1") & within("2"))
-        .groupBy(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b"))
+        .groupBy(F.col("name1").alias("a"), F.col("name2").alias("b"))
         .agg(F.count("*").alias("matches"), F.first(shortest).alias("l"))
         .where("matches >= l")
         .select("a", "b")
     )
-    found = written(verified(pairs, tokens), "links")
-    return home if found.isEmpty() else _merged(home, found)
+    return verified(pairs, tokens)
+
+
+def _long_links(entries: DataFrame, home: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between members of long lists, enough to join what they join.
+
+    Lists that share members form clusters; the sets of a cluster meet once, block by block, whatever the number of
+    lists they share. Inside a pair of blocks only links that join components not yet joined there are sent on.
+    """
+    hubs = entries.groupBy("token").agg(F.min("name").alias("hub"))
+    edges = entries.join(hubs, "token").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()
+    cluster = components.labels(edges).select(F.col("node").alias("name"), F.col("label").alias("cluster"))
+    members = written(cluster.join(home, "name").join(tokens, "name"), "members")
+    blocks = members.groupBy("cluster").agg(F.expr(f"greatest(1, ceil(sum(n) / {BLOCK}))").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.expr("pmod(xxhash64(name), blocks)"))
+    return (
+        dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .select(
+            "cluster",
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            "block",
+            "name",
+            "home",
+            "tokens",
+        )
+        .groupBy("cluster", "low", "high")
+        .applyInArrow(_met, "a long, b long")
+    )
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Links within a block (low = high) or between two."""
+    block, name, home = (table[x].to_numpy() for x in ("block", "name", "home"))
+    values = [np.frombuffer(x.as_py(), np.uint64) for x in table["tokens"]]
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := parent.get(x, x)) != x:
+            parent[x] = parent.get(above, above)
+            x = above
+        return x
+
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        sizes = np.array([len(values[i]) for i in right])
+        token = np.concatenate([values[i] for i in right])
+        order = np.argsort(token, kind="stable")
+        token, holder = token[order], np.repeat(np.arange(len(right)), sizes)[order]
+        for i in left:
+            own = values[i]
+            first, last = np.searchsorted(token, own), np.searchsorted(token, own, side="right")
+            times = last - first
+            at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            both = np.bincount(holder[at], minlength=len(right))
+            linked_to = np.flatnonzero((100 * both >= SIMILAR * (len(own) + sizes - both)) & (home[right] != home[i]))
+            for j in right[linked_to]:
+                x, y = root(int(home[i])), root(int(home[j]))
+                if x != y:
+                    parent[x] = y
+                    found.append((int(name[i]), int(name[j])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
