@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by replaying merges over a corpus.
 
-The distinct pre-tokens of a batch of documents form one corpus of byte tokens. An inverted index leads from the rank of
+The distinct pre-tokens of some ``CORPUS`` characters of documents form one corpus of byte tokens. An inverted index leads from the rank of
 each mergeable pair to the positions where it stands. Ranks are taken in rising order; a merge touches only its two
 neighbours, whose new pairs enter the index. A pre-token met before keeps its ids (in a bounded memo).
 
@@ -24,7 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-MEMO = 600_000
+MEMO = 400_000
+#: Characters of text whose words are one corpus.
+CORPUS = 2_000_000
 # The characters of Unicode's White_Space property, as the rank files' pattern sees them.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A superset of every split the pattern makes at white space: no match of the pattern spans two of these parts.
@@ -117,10 +119,23 @@ class Replay:
         return found
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, bytes]:
-        """Number of ids of each text, and all ids as 32-bit integers."""
+        """Number of ids of each text, and all ids as 32-bit integers; the words of CORPUS characters at a time."""
+        bounds, size = [0], 0
+        for at, text in enumerate(texts):
+            size += len(text or "")
+            if size > CORPUS or at + 1 == len(texts):
+                bounds.append(at + 1)
+                size = 0
+        found = [self._encode(texts[a:b]) for a, b in zip(bounds, bounds[1:])]
+        lengths = np.concatenate([np.empty(0, np.int64), *(x for x, _ in found)])
+        return lengths, b"".join(x for _, x in found)
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, bytes]:
         parts = [PARTS.findall(text) if text else [] for text in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
+        if len(self.pairs) > MEMO:
+            self.pairs.clear()
         unknown = list(set().union(*parts).difference(self.memo)) if parts else []
         split = [[x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(part)] for part in unknown]
         corpus = list({word for row in split for word in row})

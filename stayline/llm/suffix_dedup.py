@@ -131,7 +131,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows of each document's open suffixes."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (row for at in range(0, batch.num_rows, 200) for row in batch.slice(at, 200).to_pylist()):
             tokens = words(row["text"])
             first = np.array([x["first"] for x in row["open"]])
             n = np.array([x["n"] for x in row["open"]])

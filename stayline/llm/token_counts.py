@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-NODES = 800_000
+NODES = 600_000
 PRE_TOKENS = re.compile("\n| ?[^ \n]+| ")
 #: Bits for the number of a word's tokens.
 COUNT = 40
