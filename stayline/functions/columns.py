@@ -72,6 +72,12 @@ def lenient_number(text: str, precision: int, scale: int) -> str:
     return f"try_cast(nullif({trimmed(text)}, '') AS DECIMAL({precision},{scale}))"
 
 
+def lenient_whole(text: str) -> str:
+    """Whole number of a field that may be text; NULL for blanks, fractions and anything unparsable."""
+    value = lenient_number(f"CAST({text} AS STRING)", 12, 2)
+    return f"CASE WHEN {value} = floor({value}) THEN try_cast({value} AS INT) END"
+
+
 def ratio(top: str, bottom: str) -> str:
     """Double division, NULL when the denominator is zero."""
     return f"CAST({top} AS DOUBLE) / nullif(CAST({bottom} AS DOUBLE), 0D)"

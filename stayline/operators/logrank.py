@@ -5,103 +5,127 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import few_rows, grouped, literal, number
+from ..functions.columns import grouped, number
 from .survival import tenure_grid
 
-# The test ends on a segment x segment matrix.
-MAX_SEGMENTS = 1000
+# Squared directions of the month x month matrix below this share of the largest count as zero.
+SINGULAR = 1e-10
 
 
-def event_grid(accounts: DataFrame, by: str) -> DataFrame:
-    """For every month, each segment's at-risk count, leavers and expected leavers.
+def event_months(grid: DataFrame) -> DataFrame:
+    """Months somebody left with two or more accounts at risk, over all segments.
 
-    A segment without accounts at a month still has accounts at risk there, so each month
-    is filled up with all segments. The grid counts months and segments, not accounts.
-    Months nobody left, or with one account at risk, add nothing to the test.
+    ``hazard_so_far`` is the sum of the shares that left up to the month: what an account with that tenure is expected to
+    have contributed. One row per month of tenure, so its windows run in one task whatever the accounts.
     """
-    cells = tenure_grid(accounts, by).selectExpr("*", "array_sort(collect_set(segment) OVER ()) AS segments")
-    months = grouped(
-        cells,
-        {"tenure_month": "tenure_month"},
-        {
-            "segments": "first(segments)",
-            "held": "map_from_entries(collect_list(struct(segment, struct(accounts, events))))",
-        },
+    months = grouped(grid, {"tenure_month": "tenure_month"}, {"accounts": "sum(accounts)", "d": "CAST(sum(events) AS DOUBLE)"})
+    at_risk = months.selectExpr(
+        "*",
+        """CAST(sum(accounts) OVER (ORDER BY tenure_month DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS DOUBLE) AS n""",
     )
-    at_risk = (
-        months.selectExpr("tenure_month", "held", "explode(segments) AS segment")
-        .selectExpr("tenure_month", "segment", "try_element_at(held, segment) AS cell")
-        .selectExpr(
-            "tenure_month",
-            "segment",
-            "coalesce(cell.events, 0) AS events",
-            """sum(coalesce(cell.accounts, 0)) OVER (PARTITION BY segment ORDER BY tenure_month DESC
-                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk""",
-        )
-    )
-    month = "OVER (PARTITION BY tenure_month)"
-    totals = at_risk.selectExpr(
-        "*", f"CAST(sum(at_risk) {month} AS DOUBLE) AS n", f"CAST(sum(events) {month} AS DOUBLE) AS d"
-    )
-    return totals.selectExpr(
+    return at_risk.selectExpr(
         "tenure_month",
-        "segment",
-        "at_risk",
-        "n AS all_at_risk",
-        "CASE WHEN n > 1 THEN events ELSE 0 END AS observed",
-        "CASE WHEN n > 1 THEN at_risk * d / n ELSE 0D END AS expected",
+        "n",
+        "n > 1 AND d > 0 AS counts",
+        "sum(CASE WHEN n > 1 THEN d / n ELSE 0D END) OVER (ORDER BY tenure_month) AS hazard_so_far",
         "CASE WHEN n > 1 THEN d * (n - d) / (n * n * (n - 1)) ELSE 0D END AS weight",
     )
 
 
 def logrank_terms(accounts: DataFrame, by: str = "contract_type") -> DataFrame:
     """Observed and expected leavers per segment."""
+    grid = tenure_grid(accounts, by)
+    months = event_months(grid).selectExpr("tenure_month AS month", "n", "hazard_so_far")
     return grouped(
-        event_grid(accounts, by),
+        grid.join(months, F.col("tenure_month") == F.col("month")),
         {"segment": "segment"},
-        {"observed": "sum(observed)", "expected": "sum(expected)"},
+        {"observed": "sum(CASE WHEN n > 1 THEN events ELSE 0 END)", "expected": "sum(accounts * hazard_so_far)"},
     ).orderBy("segment")
 
 
-def _moments(accounts: DataFrame, by: str) -> DataFrame:
-    """Cells of the segment x segment covariance matrix, with each row segment's totals."""
-    peers = "collect_list(struct(segment, at_risk)) OVER (PARTITION BY tenure_month)"
-    cells = event_grid(accounts, by).selectExpr("*", f"{peers} AS peers").selectExpr("*", "explode(peers) AS peer")
-    same = "CASE WHEN segment = peer.segment THEN all_at_risk * at_risk ELSE 0D END"
-    return grouped(
-        cells,
-        {"segment": "segment", "peer": "peer.segment"},
-        {
-            "covariance": f"sum(weight * ({same} - CAST(at_risk AS DOUBLE) * peer.at_risk))",
-            "observed": "sum(observed)",
-            "expected": "sum(expected)",
-        },
+def _at_risk(grid: DataFrame) -> DataFrame:
+    """Every segment's accounts at risk in every event month up to its longest tenure, with the month's weight."""
+    months = event_months(grid).filter("counts")
+    listed = months.agg(F.expr("array_sort(collect_list(struct(tenure_month AS month, n, weight)))").alias("months"))
+    cells = grouped(
+        grid, {"segment": "segment"}, {"cells": "array_sort(collect_list(struct(tenure_month AS month, accounts)))"}
+    )
+    # A segment's cells and the months are lists of distinct tenure months, whatever the number of accounts.
+    return (
+        cells.withColumn("month", F.explode(listed.select("months").scalar()))
+        .selectExpr(
+            "segment",
+            "month.month AS month",
+            "month.n AS n",
+            "month.weight AS weight",
+            """aggregate(cells, 0L, (total, cell) -> total + IF(cell.month >= month.month, cell.accounts, 0L)) AS at_risk""",
+        )
+        .filter("at_risk > 0")
     )
 
 
 def logrank_covariance(accounts: DataFrame, by: str = "contract_type") -> DataFrame:
-    return _moments(accounts, by).select("segment", "peer", "covariance").orderBy("segment", "peer")
+    """The covariance of every segment's leavers with every other's: by definition a row per pair of segments."""
+    grid = tenure_grid(accounts, by)
+    cells = _at_risk(grid)
+    peers = cells.selectExpr("segment AS peer", "month AS peer_month", "at_risk AS peer_at_risk")
+    same = "CASE WHEN segment = peer THEN n * at_risk ELSE 0D END"
+    shared = grouped(
+        cells.join(peers, F.col("month") == F.col("peer_month")),
+        {"segment": "segment", "peer": "peer"},
+        {"covariance": f"sum(weight * ({same} - CAST(at_risk AS DOUBLE) * peer_at_risk))"},
+    )
+    names = grid.select("segment").distinct()
+    listed = names.agg(F.array_sort(F.collect_list("segment")).alias("segments")).select("segments").scalar()
+    pairs = names.withColumn("peer", F.explode(listed))
+    return (
+        pairs.join(shared, ["segment", "peer"], "left")
+        .selectExpr("segment", "peer", "coalesce(covariance, 0D) AS covariance")
+        .orderBy("segment", "peer")
+    )
 
 
 def logrank_test(accounts: DataFrame, by: str = "contract_type") -> DataFrame:
-    """Chi-square statistic, degrees of freedom and p-value as one row.
+    """Chi-square statistic, degrees of freedom and p-value as one row, for any number of segments.
 
-    Only the cells of the segment x segment matrix come to the driver.
+    The covariance is a diagonal by segment less one product for each event month. So the system to solve has a row for
+    each event month: its cells are summed over the segments, and only they come to the driver.
     """
-    found = _moments(accounts, by).limit(MAX_SEGMENTS**2 + 1).collect()
-    if len(found) > MAX_SEGMENTS**2:
-        raise ValueError(f"more than {MAX_SEGMENTS} segments in {by}: not a grouping to test")
-    cells = {(row.segment, row.peer): row for row in found}
-    segments = sorted({segment for segment, _ in cells})
-    gap = np.array([cells[name, name].observed - cells[name, name].expected for name in segments[:-1]])
-    covariance = np.array([[cells[a, b].covariance for b in segments[:-1]] for a in segments[:-1]])
-    dof = len(gap)
-    statistic = float(gap @ np.linalg.pinv(covariance) @ gap) if dof else 0.0
-    names = f"CAST(array({', '.join(map(literal, segments))}) AS ARRAY<STRING>)"
-    row = (number(statistic), str(dof), number(chi_square_tail(statistic, dof)), names)
-    return few_rows(accounts.sparkSession, ("statistic", "degrees_of_freedom", "p_value", "groups"), [row])
+    grid = tenure_grid(accounts, by)
+    terms = logrank_terms(accounts, by)
+    whole = _at_risk(grid).selectExpr(
+        "segment", "month", "sqrt(weight) * at_risk AS a", "sum(weight * n * at_risk) OVER (PARTITION BY segment) AS d"
+    )
+    cells = grouped(
+        whole.filter("d > 0"),
+        {"segment": "segment", "d": "d"},
+        {"cells": "array_sort(collect_list(struct(month, a)))"},
+    ).join(terms.selectExpr("segment", "observed - expected AS gap"), "segment")
+    first = cells.selectExpr("gap", "d", "cells", "explode(cells) AS x")
+    sides = grouped(first, {"month": "x.month"}, {"total": "sum(x.a * gap / d)"}).collect()
+    matrix = grouped(
+        first.selectExpr("d", "x", "explode(cells) AS y"),
+        {"x": "x.month", "y": "y.month"},
+        {"cell": "sum(x.a * y.a / d)"},
+    ).collect()
+    squares = cells.selectExpr("sum(gap * gap / d) AS squares").first().squares or 0.0
+    place = {month: at for at, month in enumerate(sorted(row.month for row in sides))}
+    right, system = np.zeros(len(place)), np.eye(len(place))
+    for row in sides:
+        right[place[row.month]] = row.total
+    for row in matrix:
+        system[place[row.x], place[row.y]] -= row.cell
+    statistic = squares + (float(right @ np.linalg.pinv(system, SINGULAR, hermitian=True) @ right) if place else 0.0)
+    dof = max(0, grid.select("segment").distinct().count() - 1)
+    return grid.agg(F.array_sort(F.collect_set("segment")).alias("groups")).selectExpr(
+        f"{number(statistic)} AS statistic",
+        f"{dof} AS degrees_of_freedom",
+        f"{number(chi_square_tail(statistic, dof))} AS p_value",
+        "groups",
+    )
 
 
 def chi_square_tail(x: float, dof: int) -> float:

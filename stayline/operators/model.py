@@ -38,8 +38,6 @@ YES_NO_FIELDS = {
     "Partner": "has_partner",
     "Dependents": "has_dependents",
 }
-# Most features the normal-equation solver takes.
-MAX_TERMS = 4096
 # Fixed value: two-sided 95 % quantile of the normal distribution.
 WALD_QUANTILE = 1.959963984540054
 
@@ -76,19 +74,9 @@ def _categories() -> dict[str, str]:
 
 
 def category_levels(accounts: DataFrame) -> dict[str, list[str]]:
-    """Sorted levels of every categorical field, found in one pass."""
-    categories = _categories()
-    found = (
-        accounts.selectExpr(*named(categories))
-        .unpivot([], list(categories), "field", "level")
-        .filter("level IS NOT NULL")
-        .distinct()
-        .limit(MAX_TERMS + 1)
-        .collect()
-    )
-    if len(found) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} category levels: not a usable set of model terms")
-    return {field: sorted(row.level for row in found if row.field == field) for field in categories}
+    """Sorted levels of every categorical field, found in one pass. The solver sets the only limit on their number."""
+    found = accounts.agg(*[F.collect_set(F.expr(sql)).alias(field) for field, sql in _categories().items()]).first()
+    return {field: sorted(found[field]) for field in _categories()}
 
 
 def term_name(field: str, level: str) -> str:

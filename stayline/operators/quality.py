@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.columns import flag, grouped, mean, trimmed
 from ..sources.extract import strip_names
-from .staging import READABLE_TOTAL
+from .staging import READABLE_BILL, READABLE_SENIOR, READABLE_TENURE, READABLE_TOTAL
 
 
 class QualityError(ValueError):
@@ -29,14 +29,17 @@ def quality_log(raw: DataFrame) -> DataFrame:
             "rows_in": "count(1)",
             "blank_total_charges": f"count_if({unread})",
             "blank_total_charges_all_tenure_zero": f"""coalesce(
-                bool_and(coalesce(CAST(tenure AS INT) = 0, false)) FILTER (WHERE {unread}), true)""",
+                bool_and(coalesce({READABLE_TENURE} = 0, false)) FILTER (WHERE {unread}), true)""",
             "duplicate_customer_ids": _duplicates("customerID"),
-            "negative_charges": "count_if(CAST(MonthlyCharges AS DECIMAL(10,2)) < 0)",
+            "negative_charges": f"count_if({READABLE_BILL} < 0)",
             "rows_out": "count(1)",
             "churn_rate": "bround(" + mean(flag(f"{trimmed('Churn')} = 'Yes'")) + ", 6)",
             "garbage_total_charges": f"count_if({unread} AND {has_text})",
             "null_customer_ids": "count_if(customerID IS NULL)",
-            "negative_tenure": "count_if(CAST(tenure AS INT) < 0)",
+            "negative_tenure": f"count_if({READABLE_TENURE} < 0)",
+            "unreadable_tenure": f"count_if({READABLE_TENURE} IS NULL)",
+            "unreadable_senior_flag": f"count_if({READABLE_SENIOR} IS NULL)",
+            "unreadable_monthly_charges": f"count_if({READABLE_BILL} IS NULL)",
         },
     )
 

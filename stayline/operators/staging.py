@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import flag, lenient_number, named, trimmed
+from ..functions.columns import flag, lenient_number, lenient_whole, named, trimmed
 from ..sources.extract import strip_names
 
 # Services an account can take, and the spellings that mean 'No'.
@@ -43,8 +43,11 @@ YES_NO = {
 }
 
 
-# NULL for a blank or unparsable total.
+# NULL for a blank or unparsable field.
 READABLE_TOTAL = lenient_number("TotalCharges", 12, 2)
+READABLE_BILL = lenient_number("MonthlyCharges", 10, 2)
+READABLE_TENURE = lenient_whole("tenure")
+READABLE_SENIOR = lenient_whole("SeniorCitizen")
 
 
 def collapse_service_levels(raw: DataFrame) -> DataFrame:
@@ -57,10 +60,10 @@ def stage(raw: DataFrame) -> DataFrame:
         *named(
             {
                 **{staged: name for name, staged in KEPT_TEXT.items()},
-                "tenure_months": "CAST(tenure AS INT)",
-                "is_senior": "CAST(SeniorCitizen AS INT)",
-                "monthly_charges": "CAST(MonthlyCharges AS DECIMAL(10,2))",
-                # Accounts not billed yet carry a blank total; its true value is zero.
+                "tenure_months": READABLE_TENURE,
+                "is_senior": READABLE_SENIOR,
+                "monthly_charges": READABLE_BILL,
+                # Nothing billed so far, nothing paid.
                 "total_charges": f"CAST(coalesce({READABLE_TOTAL}, 0) AS DECIMAL(12,2))",
                 "is_churned": flag(f"{trimmed('Churn')} = 'Yes'"),
                 **{staged: flag(f"{name} = 'Yes'") for name, staged in YES_NO.items()},

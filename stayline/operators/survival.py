@@ -29,9 +29,11 @@ CURVE_COLUMNS = (
 
 
 def tenure_grid(accounts: DataFrame, by: str | None = None) -> DataFrame:
-    """Accounts, leavers and billing per tenure month, optionally per segment."""
+    """Accounts, leavers and billing per tenure month, optionally per segment; unreadable tenures are left out."""
     segment = {"segment": f"CAST({quoted(by)} AS STRING)"} if by else {}
-    known = accounts.filter(f"{quoted(by)} IS NOT NULL") if by else accounts
+    known = accounts.filter("tenure_months IS NOT NULL")
+    if by:
+        known = known.filter(f"{quoted(by)} IS NOT NULL")
     return grouped(
         known,
         {**segment, "tenure_month": "tenure_months"},

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import quoted
+from ..functions.columns import lenient_whole, quoted
 from ..operators import (
     dashboard,
     economics,
@@ -113,7 +113,14 @@ def _on_programme(operator: Callable[[DataFrame, Column], DataFrame]) -> Query:
 def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch.path(spark, "extract")
     extract.write_csv(raw(spark, sf_dir), where)
-    return extract.read_csv(spark, where)
+    return extract.read_csv(spark, where).withColumns({name: F.expr(lenient_whole(name)) for name in ("SeniorCitizen", "tenure")})
+
+
+def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts staged from a view whose columns are all text."""
+    as_text = raw(spark, sf_dir)
+    as_text.select([as_text[name].cast("string").alias(name) for name in as_text.columns]).createOrReplaceTempView("raw_accounts")
+    return staging.stage(extract.read_table(spark, "raw_accounts"))
 
 
 def sink_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +191,7 @@ def _metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # Sources, staging, features
     "raw_scan": raw_scan,
+    "table_scan": table_scan,
     "stg_customers": lambda spark, sf_dir: staging.stage(raw(spark, sf_dir)),
     "service_levels_collapsed": lambda spark, sf_dir: staging.collapse_service_levels(raw(spark, sf_dir)).select(
         "customerID", *staging.SERVICES

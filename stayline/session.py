@@ -6,6 +6,8 @@ only adaptive execution (on by default), which splits skewed join partitions.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,6 +21,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "stayl
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stayline-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

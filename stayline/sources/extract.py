@@ -31,15 +31,10 @@ FIELDS = (
     "Churn",
 )
 
-# Charges stay text here: a blank total is meaningful and decimals must not pass through double.
+# Charges stay text in a derived book, too: a blank total is meaningful and decimals must not pass through double.
 _WHOLE_NUMBERS = {"SeniorCitizen", "tenure"}
 
-
-def _field(name: str, label: str | None = None) -> StructField:
-    return StructField(label or name, IntegerType() if name in _WHOLE_NUMBERS else StringType())
-
-
-RAW = StructType([_field(name) for name in FIELDS])
+RAW = StructType([StructField(name, IntegerType() if name in _WHOLE_NUMBERS else StringType()) for name in FIELDS])
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -47,7 +42,10 @@ def strip_names(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read the extract from CSV with a header; columns may come in any order."""
+    """Read the extract from CSV files with a header, all fields as text.
+
+    Columns may come in any order, the same one in every file: a file whose header differs from the first one's fails.
+    """
     try:
         header = spark.read.option("header", True).csv(path).columns
     except AnalysisException as error:
@@ -56,14 +54,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
                 f"{path} not found: place the account extract there as CSV with a header row"
             ) from error
         raise
-    schema = StructType([_field(label.strip(), label) for label in header])
-    return strip_names(spark.read.schema(schema).option("header", True).csv(path)).select(*FIELDS)
+    schema = StructType([StructField(label, StringType()) for label in header])
+    whole = spark.read.schema(schema).options(header=True, enforceSchema=False).csv(path)
+    return strip_names(whole).select(*FIELDS)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """Read the extract from a table or view whose columns are all text."""
+    """Read the extract from a table or view, all fields as text."""
     raw = strip_names(spark.table(name))
-    return raw.select(*[raw[f.name].cast(f.dataType).alias(f.name) for f in RAW.fields])
+    return raw.select(*[raw[field].cast("string").alias(field) for field in FIELDS])
 
 
 def write_csv(raw: DataFrame, path: str) -> None:

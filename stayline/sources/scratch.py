@@ -1,30 +1,25 @@
 """Written tables that cut lineage.
 
-An intermediate result that is read more than once is written as parquet below the
-shared folder named by ``spark.checkpoint.dir``. A lost executor then costs a re-read,
-and readers still get column pruning and true sizes for join planning.
+An intermediate result that is read more than once is written as parquet in a folder that all executors share: the
+context's checkpoint folder, else the one ``spark.checkpoint.dir`` names, else the warehouse. A lost executor then costs
+a re-read, and readers still get column pruning and true sizes for join planning. The tables of an application lie in
+a folder of its own; ``clear`` removes it once nothing that reads them is needed any more.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folders: dict[str, str] = {}
-
 
 def folder(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="stayline-")
-    return _own_folders[app]
+    shared = (
+        spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
+    return f"{shared.rstrip('/')}/stayline-{spark.sparkContext.applicationId}"
 
 
 def path(spark: SparkSession, name: str) -> str:

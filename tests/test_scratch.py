@@ -3,31 +3,22 @@ import pytest
 from stayline.sources import scratch
 
 
-def test_tables_go_to_the_shared_folder(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if shared:
-        assert scratch.folder(spark) == f"{shared.rstrip('/')}/{app}"
-    assert scratch.path(spark, "a") != scratch.path(spark, "a")
-
-
-def test_own_folder_only_where_none_is_named(spark, monkeypatch):
-    class Conf:
-        def get(self, name, default=None):
-            return default
-
-    class Context:
-        applicationId = "app"
-        master = "local[2]"
-
+@pytest.mark.parametrize(
+    "context, setting, expected", [("file:/c", "file:/s/", "file:/c"), (None, "file:/s/", "file:/s"), (None, None, "/warehouse")]
+)
+def test_the_shared_folder(context, setting, expected):
     class Session:
-        conf = Conf()
-        sparkContext = Context()
+        class conf:
+            @staticmethod
+            def get(name, *default):
+                return setting if name == "spark.checkpoint.dir" else "/warehouse"
+
+        class sparkContext:
+            applicationId = "app"
+            getCheckpointDir = staticmethod(lambda: context)
 
-    assert "stayline-" in scratch.folder(Session())
-    Context.master = "spark://elsewhere"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.folder(Session())
+    assert scratch.folder(Session) == f"{expected}/stayline-app"
+    assert scratch.path(Session, "a") != scratch.path(Session, "a")
 
 
 def test_written_table_keeps_rows_and_types(spark, monkeypatch, tmp_path):

@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import pytest
 
-from stayline.operators import quality
+from stayline.operators import quality, staging
 from stayline.plans.views import accounts_of, create_staging, create_views
 from stayline.sources import extract, scratch
 from tests.frames import PLAIN, book, raw_book, rows
@@ -76,6 +76,9 @@ def test_quality_log(spark):
         "garbage_total_charges": 1,
         "null_customer_ids": 1,
         "negative_tenure": 1,
+        "unreadable_tenure": 0,
+        "unreadable_senior_flag": 0,
+        "unreadable_monthly_charges": 0,
     }
 
 
@@ -104,7 +107,7 @@ def test_csv_columns_in_any_order_with_padded_names(spark, tmp_path):
     values = [str(PLAIN[name]) if name != "TotalCharges" else " " for name in names]
     path.write_text(",".join(f" {name} " for name in names) + "\n" + ",".join(values) + "\n")
     raw = extract.read_csv(spark, str(path))
-    assert raw.schema == extract.RAW
+    assert raw.dtypes == [(name, "string") for name in extract.FIELDS]
     (row,) = rows(accounts_of(raw))
     assert row["customer_id"] == "a" and row["total_charges"] == 0
 
@@ -123,3 +126,20 @@ def test_text_table_and_views(spark):
     assert spark.sql("SELECT churned_accounts, accounts FROM vw_portfolio_position").first()[:] == (1, 2)
     for view in ("vw_segment_performance", "vw_tenure_hazard", "vw_loss_concentration", "vw_attachment_effect"):
         assert spark.table(view).count() >= 1
+
+
+def test_files_with_different_headers_fail(spark, tmp_path):
+    names = list(extract.FIELDS)
+    for number, header in enumerate((names, names[::-1])):
+        (tmp_path / f"{number}.csv").write_text(",".join(header) + "\n" + ",".join(header) + "\n")
+    with pytest.raises(Exception, match="header"):
+        extract.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_unreadable_whole_numbers_are_counted(spark):
+    changes = [{"tenure": t, "SeniorCitizen": s, "MonthlyCharges": m} for t, s, m in
+               (("abc", "1", "x"), ("3.0", "0.5", "2.50"), (" 7 ", "", ""), ("1.5", "0", "-1"))]
+    table = spark.createDataFrame([tuple({**PLAIN, **c}[n] for n in extract.FIELDS) for c in changes], ", ".join(f"{n} string" for n in extract.FIELDS), verifySchema=False)
+    (log,) = rows(quality.quality_log(table))
+    assert (log["unreadable_tenure"], log["unreadable_senior_flag"], log["unreadable_monthly_charges"]) == (2, 2, 2)
+    assert [r["tenure_months"] for r in rows(staging.stage(table))] == [None, 3, 7, None]

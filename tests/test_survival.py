@@ -103,23 +103,26 @@ def test_curve_properties(spark):
 
 
 def by_definition(data):
-    """Log-rank sums month by month over (group, tenure, left) rows."""
-    groups = sorted({g for g, _, _ in data})
-    k = len(groups)
-    observed, expected = [0.0] * k, [0.0] * k
-    cov = [[0.0] * k for _ in range(k)]
-    for t in sorted({t for _, t, left in data if left}):
-        n_j = [sum(1 for g, u, _ in data if g == group and u >= t) for group in groups]
-        d_j = [sum(1 for g, u, left in data if g == group and u == t and left) for group in groups]
-        n, d = sum(n_j), sum(d_j)
-        if n <= 1:
+    """Log-rank moments from draws without replacement: in each month, the leavers are a random draw of the accounts at
+    risk. Every account leaves with the same chance, and two accounts leave together a little less often than alone."""
+    import numpy as np
+
+    groups = sorted({group for group, _, _ in data})
+    member = np.array([[group == name for name in groups] for group, _, _ in data], dtype=float)
+    tenure, left = np.array([t for _, t, _ in data]), np.array([bool(x) for _, _, x in data])
+    observed, expected, covariance = 0, 0, 0
+    for month in np.unique(tenure[left]):
+        pool = member[tenure >= month]
+        size, drawn = len(pool), int((left & (tenure == month)).sum())
+        if size == 1:
             continue
-        for i in range(k):
-            observed[i] += d_j[i]
-            expected[i] += n_j[i] * d / n
-            for j in range(k):
-                cov[i][j] += d * (n - d) / (n * n * (n - 1)) * ((n * n_j[i] if i == j else 0) - n_j[i] * n_j[j])
-    return groups, observed, expected, cov
+        chance = drawn / size
+        together = chance * (drawn - 1) / (size - 1) - chance**2
+        draws = np.full((size, size), together) + np.eye(size) * (chance - chance**2 - together)
+        observed = observed + member[left & (tenure == month)].sum(axis=0)
+        expected = expected + chance * pool.sum(axis=0)
+        covariance = covariance + pool.T @ draws @ pool
+    return groups, list(observed), list(expected), covariance
 
 
 def test_logrank_equals_its_definition(spark):
@@ -151,11 +154,30 @@ def test_logrank_without_leavers(spark):
     assert (test["statistic"], test["degrees_of_freedom"], test["p_value"]) == (0.0, 1, 1.0)
 
 
-def test_too_many_segments_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(logrank, "MAX_SEGMENTS", 3)
-    accounts = book(spark, *[{"Contract": f"plan {i}", "Churn": "Yes"} for i in range(4)])
-    with pytest.raises(ValueError, match="segments"):
-        logrank.logrank_test(accounts)
+def test_logrank_of_many_segments(spark):
+    """Two thousand segments: the same statistic as from the covariance of all of them."""
+    import numpy as np
+
+    data = [(f"plan {i % 2000:04}", (5 * i * i + i // 7) % 11, i % 3 != 1) for i in range(6000)]
+    accounts = book(spark, *[{"Contract": g, "tenure": t, "Churn": "Yes" if e else "No"} for g, t, e in data])
+    (test,) = rows(logrank.logrank_test(accounts))
+    groups, observed, expected, covariance = by_definition(data)
+    gap = np.array(observed) - np.array(expected)
+    statistic = gap[:-1] @ np.linalg.pinv(covariance[:-1, :-1], hermitian=True) @ gap[:-1]
+    assert test["statistic"] == pytest.approx(statistic, rel=1e-9) and test["degrees_of_freedom"] == 1999
+    assert test["groups"] == groups
+
+
+def test_unreadable_tenures_are_left_out(spark):
+    """Of four accounts the one without a readable tenure belongs to no curve."""
+    accounts = lives(spark, (1, 1), (2, 0), (3, 0), (None, 1))
+    assert [(r["tenure_month"], r["at_risk"], round(r["survival"], 6)) for r in rows(survival.kaplan_meier(accounts))] == [
+        (1, 3, 0.666667), (2, 2, 0.666667), (3, 1, 0.666667)
+    ]
+    assert [r["tenure_month"] for r in rows(survival.tenure_hazard(accounts))] == [1, 2, 3]
+    known = lives(spark, (1, 1), (2, 0), (3, 0))
+    for curve in (lambda x: survival.restricted_mean(x, "contract_type"), logrank.logrank_terms, logrank.logrank_test):
+        assert rows(curve(accounts)) == rows(curve(known))
 
 
 def test_chi_square_tail():
