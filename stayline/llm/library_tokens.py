@@ -12,7 +12,7 @@ import numpy as np
 
 from .byte_bpe import PARTS
 
-MEMO = 400_000
+MEMO = 1_500_000
 #: Cuts that no token of the vocabulary crosses: the byte-level kind keeps a space with what follows it; the kind that
 #: drops white space can be cut at any of it.
 CUTS = {"byte_level": PARTS, "words": re.compile("[^ \n]+")}
