@@ -24,9 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-MEMO = 400_000
+MEMO = 700_000
 #: Characters of text whose words are one corpus.
-CORPUS = 2_000_000
+CORPUS = 1_000_000
 # The characters of Unicode's White_Space property, as the rank files' pattern sees them.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A superset of every split the pattern makes at white space: no match of the pattern spans two of these parts.
@@ -45,6 +45,10 @@ class Replay:
         self.single = [self.ranks[bytes([value])] for value in range(256)]
         self.pattern = regex.compile(pattern)
         self.pairs: dict[int, int] = {}
+        self.singles = np.array(self.single)
+        self.first_ranks = np.array(
+            [[self.ranks.get(bytes([left, right]), -1) for right in range(256)] for left in range(256)]
+        )
         self.memo: dict[str, bytes] = {}
 
     def rank_of(self, left: int, right: int) -> int:
@@ -68,50 +72,59 @@ class Replay:
 
     def replay(self, corpus: list[bytes]) -> list[list[int]]:
         """Ids of every word of the corpus."""
-        token: list[int] = []
-        starts: list[int] = []
-        for word in corpus:
-            starts.append(len(token))
-            token.extend([self.single[value] for value in word])
-        size = len(token)
-        after = list(range(1, size + 1))
-        before = list(range(-1, size - 1))
-        for start in starts:
-            if start < size:
-                before[start] = -1
-            if start:
-                after[start - 1] = -1
-        if size:
-            after[-1] = -1
-        index: dict[int, list[int]] = {}
-        rank_of = self.rank_of
-        for at in range(size):
-            if after[at] >= 0 and (rank := rank_of(token[at], token[at + 1])) >= 0:
-                index.setdefault(rank, []).append(at)
+        data = np.frombuffer(b"".join(corpus), np.uint8)
+        sizes = np.array([len(word) for word in corpus], dtype=np.int64)
+        bounds = np.cumsum(sizes)
+        starts = (bounds - sizes).tolist()
+        size = len(data)
+        token = self.singles[data].tolist()
+        inner = np.ones(size, dtype=bool)  # positions with a neighbour to the right
+        inner[bounds[sizes > 0] - 1] = False
+        after = np.where(inner, np.arange(1, size + 1), -1).tolist()
+        before = np.where(np.concatenate([[False], inner[:-1]]), np.arange(-1, size - 1), -1).tolist() if size else []
+        first = self.first_ranks[data[:-1], data[1:]] if size else np.empty(0, np.int64)
+        places = np.flatnonzero(inner[:-1] & (first >= 0))
+        places = places[np.argsort(first[places], kind="stable")]
+        ranks, cuts = np.unique(first[places], return_index=True)
+        index: dict[int, list[int]] = dict(zip(ranks.tolist(), (x.tolist() for x in np.split(places, cuts[1:]))))
         ranks = list(index)
         heapify(ranks)
         irregular: set[int] = set()
+        known, rank_of = self.pairs.get, self.rank_of
         while ranks:
             rank = heappop(ranks)
-            for at in sorted(index.pop(rank, ())):
-                following = after[at]
-                if token[at] < 0 or following < 0 or rank_of(token[at], token[following]) != rank:
+            some = index.pop(rank, ())
+            for at in sorted(some) if len(some) > 1 else some:
+                following, left = after[at], token[at]
+                if left < 0 or following < 0:
+                    continue
+                right = token[following]
+                if (known(left << 32 | right) or rank_of(left, right)) != rank:
                     continue
                 token[at], token[following] = rank, -1
                 beyond, ahead = after[following], before[at]
                 after[at] = beyond
                 if beyond >= 0:
                     before[beyond] = at
-                for place, left, right in ((at, at, beyond), (ahead, ahead, at)):
-                    if left < 0 or right < 0 or (new := rank_of(token[left], token[right])) < 0:
-                        continue
-                    if new <= rank:
-                        irregular.add(bisect_right(starts, at) - 1)
-                    if new in index:
-                        index[new].append(place)
-                    else:
-                        index[new] = [place]
-                        heappush(ranks, new)
+                    right = token[beyond]
+                    if (new := known(rank << 32 | right) or rank_of(rank, right)) >= 0:
+                        if new <= rank:
+                            irregular.add(bisect_right(starts, at) - 1)
+                        if (entries := index.get(new)) is not None:
+                            entries.append(at)
+                        else:
+                            index[new] = [at]
+                            heappush(ranks, new)
+                if ahead >= 0:
+                    left = token[ahead]
+                    if (new := known(left << 32 | rank) or rank_of(left, rank)) >= 0:
+                        if new <= rank:
+                            irregular.add(bisect_right(starts, at) - 1)
+                        if (entries := index.get(new)) is not None:
+                            entries.append(ahead)
+                        else:
+                            index[new] = [ahead]
+                            heappush(ranks, new)
         ends = starts[1:] + [size]
         found = [[x for x in token[start:end] if x >= 0] for start, end in zip(starts, ends)]
         for at in irregular:
