@@ -7,7 +7,7 @@ of columns, so it runs inside generated code and needs no vectors.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -73,21 +73,25 @@ def _categories() -> dict[str, str]:
     return {**TEXT_FIELDS, **yes_no}
 
 
-def category_levels(accounts: DataFrame) -> dict[str, list[str]]:
-    """Sorted levels of every categorical field, found in one pass. The solver sets the only limit on their number."""
-    found = accounts.agg(*[F.collect_set(F.expr(sql)).alias(field) for field, sql in _categories().items()]).first()
-    return {field: sorted(found[field]) for field in _categories()}
+def category_levels(accounts: DataFrame, fields: Collection[str] | None = None) -> dict[str, list[str]]:
+    """Sorted levels of every chosen categorical field, found in one pass. The solver sets the only limit on their number."""
+    chosen = {field: sql for field, sql in _categories().items() if fields is None or field in fields}
+    if not chosen:
+        return {}
+    found = accounts.agg(*[F.collect_set(F.expr(sql)).alias(field) for field, sql in chosen.items()]).first()
+    return {field: sorted(found[field]) for field in chosen}
 
 
 def term_name(field: str, level: str) -> str:
     return f"{field}_{level}".replace(" ", "_").replace("(", "").replace(")", "")
 
 
-def design_terms(levels: Levels) -> dict[str, str]:
+def design_terms(levels: Levels, fields: Collection[str] | None = None) -> dict[str, str]:
     """Model terms: numerics, then one indicator per level but the first of each field."""
-    terms = {term: f"CAST({name} AS DOUBLE)" for term, name in NUMERICS.items()}
+    numerics = {term: name for term, name in NUMERICS.items() if fields is None or term in fields}
+    terms = {term: f"CAST({name} AS DOUBLE)" for term, name in numerics.items()}
     for field, category in _categories().items():
-        for level in levels[field][1:]:
+        for level in levels.get(field, [])[1:]:
             terms[term_name(field, level)] = f"CASE WHEN {category} = {literal(level)} THEN 1D ELSE 0D END"
     return terms
 
@@ -141,10 +145,10 @@ def _two_sided(weight: float, error: float) -> float | None:
     return math.erfc(abs(weight / error) / math.sqrt(2)) if error else None
 
 
-def fit(split_accounts: DataFrame) -> DriverModel:
-    """Maximum-likelihood fit on the rows whose ``split`` is 'train'."""
-    levels = category_levels(split_accounts)
-    terms = design_terms(levels)
+def fit(split_accounts: DataFrame, fields: Collection[str] | None = None) -> DriverModel:
+    """Maximum-likelihood fit on the rows whose ``split`` is 'train', of all fields or the named ones."""
+    levels = category_levels(split_accounts, fields)
+    terms = design_terms(levels, fields)
     rows = split_accounts.filter("split = 'train'").selectExpr("CAST(is_churned AS DOUBLE) AS label", *named(terms))
     train = VectorAssembler(inputCols=list(terms), outputCol="features").transform(rows).select("label", "features")
     # Read once per iteration. A lost block is rebuilt from the written split table.
@@ -193,7 +197,7 @@ def likelihood_equations(model: DriverModel, split_accounts: DataFrame) -> DataF
 
     All are zero where the likelihood is at its maximum.
     """
-    terms = {"intercept": "1D", **design_terms(model.levels)}
+    terms = {"intercept": "1D", **{term: sql for term, sql in design_terms(model.levels).items() if term in model.weights}}
     residual = "(is_churned - churn_probability)"
     sums = grouped(
         model.score(split_accounts.filter("split = 'train'")),

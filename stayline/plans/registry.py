@@ -87,11 +87,17 @@ def with_scorecard(book: DataFrame) -> DataFrame:
 
 
 def scored(book: DataFrame) -> DataFrame:
-    return targeting.scored_accounts(with_scorecard(book))
+    return targeting.scored_accounts(_scorecard_scores(book))
+
+
+def in_deciles(book: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of scored accounts, and their decile: nothing else is written or sorted."""
+    names = dict.fromkeys(["customer_id", "churn_probability", *columns])
+    return targeting.with_deciles(with_scorecard(book).select(*names))
 
 
 def deciles(book: DataFrame) -> DataFrame:
-    return targeting.decile_table(scored(book))
+    return targeting.decile_table(in_deciles(book, "is_churned", "monthly_charges"))
 
 
 def gained(book: DataFrame) -> Column:
@@ -159,11 +165,38 @@ def _scorecard_scores(book: DataFrame) -> DataFrame:
 
 
 def _score_aucs(book: DataFrame) -> DataFrame:
-    return ranking.auc(with_scorecard(ranking.stratified_split(book)), "churn_probability", "is_churned", by="split")
+    scores = with_scorecard(book).select("customer_id", "is_churned", "churn_probability")
+    return ranking.auc(ranking.stratified_split(scores), "churn_probability", "is_churned", by="split")
 
 
 def _selection(book: DataFrame) -> DataFrame:
-    return dashboard.apply_filters(dashboard.cells(scored(book)), decile=[1, 2])
+    dimensions = [name for name in dashboard.DIMENSIONS if name != "decile"]
+    rows = in_deciles(book, *dimensions, "is_churned", "monthly_charges")
+    return dashboard.apply_filters(dashboard.cells(rows), decile=[1, 2])
+
+
+def _action_list(book: DataFrame) -> DataFrame:
+    return dashboard.account_action_list(in_deciles(book, "contract_type", "tenure_months", "monthly_charges"))
+
+
+def _customer_risk(book: DataFrame) -> DataFrame:
+    columns = [name for name in dashboard.ACCOUNT_EXTRACT.values() if name != "decile"]
+    return dashboard.customer_risk(in_deciles(book, *columns))
+
+
+def _contract_model(book: DataFrame) -> tuple[model.DriverModel, DataFrame]:
+    """A model of one field: its maximum is known in closed form."""
+    split = model.split_accounts(book.select("customer_id", "is_churned", "contract_type"))
+    return model.fit(split, ["Contract"]), split
+
+
+def _contract_coefficients(book: DataFrame) -> DataFrame:
+    return _contract_model(book)[0].coefficients(book.sparkSession)
+
+
+def _contract_fit_stats(book: DataFrame) -> DataFrame:
+    fitted, split = _contract_model(book)
+    return model.fit_stats(fitted, fitted.score(split))
 
 
 def _fitted(book: DataFrame) -> tuple[model.DriverModel, DataFrame]:
@@ -272,9 +305,13 @@ QUERIES: dict[str, Query] = {
     ),
     "selection_quality": _on_accounts(lambda book: dashboard.selection_quality(_selection(book))),
     "dashboard_economics": _on_staged(lambda book: dashboard.simple_economics(_selection(book), gained(book))),
-    "account_action_list": _on_accounts(lambda book: dashboard.account_action_list(scored(book))),
-    "fct_customer_risk": _on_accounts(lambda book: dashboard.customer_risk(scored(book))),
+    "account_action_list": _on_accounts(_action_list),
+    "fct_customer_risk": _on_accounts(_customer_risk),
     # The fitted model
+    "contract_odds_ratios": _on_accounts(_contract_coefficients),
+    "contract_fit_stats": _on_accounts(_contract_fit_stats),
+    "contract_significant_drivers": _on_accounts(lambda book: model.significant_drivers(_contract_coefficients(book))),
+    "contract_top_terms": _on_accounts(lambda book: model.top_terms(_contract_coefficients(book))),
     "driver_odds_ratios": _on_staged(_coefficients),
     "likelihood_equations": _on_staged(_likelihood_equations),
     "model_fit_stats": _on_staged(_fit_stats),

@@ -34,7 +34,7 @@ class Analysis:
         split = model.split_accounts(self.accounts, assumptions)
         self.model = model.fit(split)
         self.coefficients = self.model.coefficients(spark)
-        self.scored = scratch.table(targeting.scored_accounts(self.model.score(split)), "scored")
+        self.scored = targeting.with_deciles(self.model.score(split))
         self.deciles = scratch.table(targeting.decile_table(self.scored), "deciles")
 
         self.segments = metrics.segment_revenue_lost(self.accounts)

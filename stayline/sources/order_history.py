@@ -10,8 +10,10 @@ on the order rows are summed in. Shape of the plan:
   again partly before the shuffle, so a hot customer does too;
 * that row joins the customer one to one.
 
-Both joins are outer joins onto a unique key: a query that uses no add-on drops the line
-item branch altogether, and one that uses no order fact reads only customers.
+All joins are outer joins, so a customer of an unknown nation and a line of an unknown part count.
+The last two are onto a unique key: a query that uses no add-on drops the line item branch
+altogether, and one that uses no order fact reads only customers. The date of the book is the
+largest order date, a scan of that one column.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def derive(
 ) -> DataFrame:
     facts = _order_facts(orders, _line_facts(lineitem, part))
     accounts = (
-        customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
+        customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"], "left")
         .join(facts, customer["c_custkey"] == facts["o_custkey"], "left")
         .withColumn("book_date", orders.agg(F.max("o_orderdate")).scalar())
     )
@@ -67,7 +69,7 @@ def derive(
 def _line_facts(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Lines per order by part type, and returned lines."""
     return grouped(
-        lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"]),
+        lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"], "left"),
         {"l_orderkey": "l_orderkey"},
         {
             **{f"{addon}_lines": f"count_if(p_type = {literal(kind)})" for addon, kind in ADDON_PART_TYPES.items()},

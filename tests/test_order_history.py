@@ -18,10 +18,10 @@ pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="test tables are not
 @pytest.fixture(scope="module")
 def skewed(tmp_path_factory):
     """A third of the lines on one part, a third on one order, a third of the orders on one customer;
-    customers without orders, orders without lines, lines whose part or order is unknown."""
+    customers without orders or of an unknown nation, orders without lines, lines whose part or order is unknown."""
     out = tmp_path_factory.mktemp("skewed")
     changed = {
-        "nation": "SELECT * FROM t",
+        "nation": "SELECT * FROM t WHERE n_nationkey <> 4",
         "part": "SELECT * FROM t WHERE p_partkey <> 3",
         "customer": "SELECT * FROM t",
         "orders": """SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_custkey = 9 THEN 10 ELSE o_custkey END AS o_custkey)

@@ -113,3 +113,22 @@ def test_split_of_a_tiny_stratum(spark):
     df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 0)], "customer_id string, is_churned int")
     found = Counter((row["is_churned"], row["split"]) for row in rows(ranking.stratified_split(df)))
     assert found == {(1, "train"): 1, (0, "test"): 1, (0, "train"): 1}
+
+
+def test_deciles_by_cut_keys_equal_deciles_by_rank(spark, many_slices):
+    random.seed(9)
+    scores = [None, float("nan"), 0.5, 0.5, -0.0, 0.0]
+    data = [(random.choice(["hot", None, f"id{i}"]), random.choice([*scores, random.random()])) for i in range(997)]
+    for size in (0, 1, 3, 9, 11, 997):
+        df = spark.createDataFrame(data[:size], "customer_id string, churn_probability double")
+        by_rank = targeting.scored_accounts(df).drop("risk_rank")
+        by_cuts = targeting.with_deciles(df)
+        assert by_cuts.dtypes == by_rank.dtypes
+        assert sorted(map(repr, by_cuts.collect())) == sorted(map(repr, by_rank.collect()))
+
+
+def test_wide_accounts_are_not_shuffled_for_deciles(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("customer_id"), F.rand(1).alias("churn_probability"), F.lit("x").alias("wide"))
+    plan = targeting.with_deciles(df)._jdf.queryExecution().sparkPlan().toString()
+    # The file scan is the only thing under the accounts; sorting happened on the key.
+    assert "Exchange" not in plan.split("Subquery")[0]
