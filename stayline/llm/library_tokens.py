@@ -13,6 +13,7 @@ import numpy as np
 from .byte_bpe import PARTS
 
 MEMO = 1_500_000
+JOINED = 32
 #: Cuts that no token of the vocabulary crosses: the byte-level kind keeps a space with what follows it; the kind that
 #: drops white space can be cut at any of it.
 CUTS = {"byte_level": PARTS, "words": re.compile("[^ \n]+")}
@@ -20,12 +21,20 @@ _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
 class Encoder:
+    """Unknown parts are encoded some ``JOINED`` at a time, with a special token between them: the tokenizer splits a text
+    there before anything else, so each part is encoded as if alone. Parts that could hold a special token are encoded
+    one by one, as ordinary text."""
+
     def __init__(self, path: str, cuts: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.splitting = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.first_letters = {token.content[0] for token in special.values()}
+        marks = [(n, t.content) for n, t in special.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark_id, self.mark = marks[-1] if marks else (None, None)
         self.cuts = CUTS[cuts]
         self.memo: dict[str, bytes] = {}
 
@@ -34,12 +43,27 @@ class Encoder:
         parts = [self.cuts.findall(text) if text else [] for text in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        unknown = list(set().union(*parts).difference(self.memo)) if parts else []
+        self._learn(list(set().union(*parts).difference(self.memo)))
+        return [b"".join(map(self.memo.__getitem__, row)) for row in parts]
+
+    def _learn(self, unknown: list[str]) -> None:
+        if self.mark:
+            plain = list(filter(self.first_letters.isdisjoint, unknown))
+            unknown = [part for part in unknown if not self.first_letters.isdisjoint(part)]
+            for start in range(0, len(plain), 10_000):
+                groups = [plain[at : at + JOINED] for at in range(start, min(start + 10_000, len(plain)), JOINED)]
+                found = self.splitting.encode_batch_fast(list(map(self.mark.join, groups)), add_special_tokens=False)
+                for group, encoded in zip(groups, found):
+                    ids = np.array(encoded.ids, dtype="<u4")
+                    ends = [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), ids.nbytes]
+                    data, at = ids.tobytes(), 0
+                    for part, end in zip(group, ends, strict=True):
+                        self.memo[part] = data[at:end]
+                        at = end + 4
         for start in range(0, len(unknown), 10_000):
             some = unknown[start : start + 10_000]
             for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.memo[part] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, row)) for row in parts]
 
 
 def loaded(path: str, cuts: str) -> Encoder:
