@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import components
-from .shared import WordHashes, mixed, pieces_of, shingles, signed, words, written
+from .shared import KEYS, Words, document_keys, mixed, pieces_of, shingles, utf8, written
 
 WIDTH = 5
 SIMILAR = 75  # in hundredths
@@ -43,12 +43,11 @@ VERIFY = 4.0
 SHORT = 64
 BLOCK = 400_000
 FRUITFUL = 4  # a star round is followed by another while it merges one in so many of the open sets
-_known = WordHashes()
-_upper = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_words = Words(lower=True)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return shingles(words(text.translate(_upper) if text else None), _known, WIDTH)
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    return (shingles(values, WIDTH) for values in _words.of(utf8(texts)))
 
 
 def name_of(values: np.ndarray) -> int:
@@ -73,11 +72,11 @@ def linked(left: np.ndarray, right: np.ndarray) -> bool:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingle_set(text.as_py()) for text in batch["text"]]
+        found = [(len(x), name_of(x) if len(x) else None) for x in shingle_sets(batch["text"])]
         yield pa.RecordBatch.from_arrays(
             [
-                batch["doc_id"], batch["tie"], pa.array([len(x) for x in found], pa.int64()),
-                pa.array([name_of(x) if len(x) else None for x in found], pa.int64()),
+                batch["doc_id"], batch["tie"],
+                pa.array([n for n, _ in found], pa.int64()), pa.array([name for _, name in found], pa.int64()),
             ],
             ["doc_id", "tie", "n", "name"],
         )
@@ -96,8 +95,7 @@ def _sender(buckets: int):
         number = 0
         for batch in batches:
             prefixes: dict[int, np.ndarray] = {}
-            for text in batch["text"]:
-                values = shingle_set(text.as_py())
+            for values in shingle_sets(batch["text"]):
                 if len(values):
                     prefixes.setdefault(name_of(values), values[: free(len(values)) + asked(len(values))])
             if not prefixes:
@@ -179,8 +177,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema({"name": pa.int64(), "n": pa.int64(), "tokens": pa.binary()})
     for batch in batches:
         rows = []
-        for text, name in zip(batch["text"], batch["name"].to_pylist()):
-            values = shingle_set(text.as_py())
+        for values, name in zip(shingle_sets(batch["text"]), batch["name"].to_pylist()):
             if len(values) and name_of(values) == name:
                 rows.append({"name": name, "n": len(values), "tokens": values.tobytes()})
         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -410,16 +407,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         .select("name", "n", "place.doc_id", "place.tie")
     )
     nodes = written(nodes, "nodes")
-    left = sieved(docs, nodes).select("name", "doc_id", "tie")
-    # One row of each document is enough.
-    single = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie")).agg(
-        F.first("text").alias("text")
-    )
-    same = F.col("s.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("s.tie") == F.col("l.tie"))
+    keys = document_keys("doc_id", "tie")
+    left = sieved(docs, nodes).select("name", *keys)
+    # One row of each document is enough. Grouped by the join's keys, so that texts are shuffled once.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    single = texts.groupBy(*keys).agg(F.first("text").alias("text"))
     tokens = written(
-        single.alias("s")
-        .join(left.alias("l"), same)
-        .select("l.name", "s.text")
+        single.join(left, KEYS)
+        .select("name", "text")
         .mapInArrow(_tokens, "name long, n long, tokens binary"),
         "tokens",
     )

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import BASE, WordHashes, hashed, mixed, partitions, pieces_of, signed, window_hashes, words, written
+from .shared import BASE, KEYS, Words, document_keys, mixed, partitions, pieces_of, signed, utf8, window_hashes, written
 
 MATCH = 50
 GRAM = 20
@@ -36,7 +36,7 @@ SORTED_ROWS = 1_000_000
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SUFFIX = "gram long, around long, doc_id long, tie int, first int, n int"
-_known = {seed: WordHashes(seed) for seed in (0, 1)}
+_words = [Words(seed) for seed in (0, 1)]
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -84,8 +84,9 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 1000):
             some = batch.slice(start, 1000)
             parts, names, ties = [], [], []
-            for name, tie, text in zip(some["doc_id"].to_pylist(), some["tie"].to_pylist(), some["text"]):
-                part = suffixes(hashed(words(text.as_py()), _known[0]))
+            hashes = _words[0].of(utf8(some["text"]))
+            for name, tie, values in zip(some["doc_id"].to_pylist(), some["tie"].to_pylist(), hashes):
+                part = suffixes(values)
                 parts.append(part)
                 names.extend([name] * len(part[0]))
                 ties.extend([tie] * len(part[0]))
@@ -132,12 +133,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows of each document's open suffixes."""
     for batch in batches:
         for row in (row for at in range(0, batch.num_rows, 200) for row in batch.slice(at, 200).to_pylist()):
-            tokens = words(row["text"])
+            text = row["text"].encode("utf-8", "surrogatepass")
             first = np.array([x["first"] for x in row["open"]])
             n = np.array([x["n"] for x in row["open"]])
             many = np.repeat(np.array([x["many"] for x in row["open"]]), n)
             start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            one, two = (signed(Ranges(hashed(tokens, _known[seed])).of(start, start + MATCH)) for seed in (0, 1))
+            one, two = (signed(Ranges(next(words.of([text]))).of(start, start + MATCH)) for words in _words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(one), pa.array(two), pa.array([row["doc_id"]] * len(start), pa.int64()),
@@ -147,10 +148,6 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _same_document(left: str, right: str) -> Column:
-    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.tie") == F.col(f"{right}.tie"))
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """Repeated pieces of each document: doc_id, tie, first word, n windows, kept (the first place), source (its doc_id)."""
     spark = docs.sparkSession
@@ -167,17 +164,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     whole = compared.where("NOT open AND many").select(
         "doc_id", "tie", "first", "n", F.col("head").alias("kept"), "source"
     )
+    keys = document_keys("doc_id", "tie")
     opened = (
         compared.where("open")
-        .groupBy("doc_id", "tie")
+        .groupBy(*keys)
         .agg(F.collect_list(F.struct("first", "n", "many")).alias("open"))
     )
-    # One row of each document is enough.
-    single = texts.groupBy("doc_id", "tie").agg(F.first("text").alias("text"))
+    # One row of each document is enough. Grouped by the join's keys, so that texts are shuffled once.
+    single = texts.groupBy(*keys).agg(F.first("text").alias("text"))
     windows = written(
-        single.alias("d")
-        .join(opened.alias("o"), _same_document("d", "o"))
-        .select("d.doc_id", "d.tie", "d.text", "o.open")
+        single.join(opened, KEYS)
+        .select(F.expr("IF(known, id, NULL)").alias("doc_id"), "tie", "text", "open")
         .mapInArrow(_window_rows, "one long, two long, doc_id long, tie int, first int, many boolean"),
         "windows",
     )
