@@ -221,6 +221,29 @@ def _metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Analysis(raw(spark, sf_dir)).metrics_document()
 
 
+#: Records of the metrics document that rest on no fitted model.
+DOCUMENT_PARTS = {
+    "quality": "data_quality",
+    "risk": "portfolio",
+    "logrank": "survival.logrank",
+    "programme": "economics.programme",
+    "recommended": "economics.recommended_option",
+}
+
+
+def _metrics_document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics document of scorecard scores, with its records as columns."""
+    document = Analysis(raw(spark, sf_dir), scorer=with_scorecard).metrics_document()
+    shown = []
+    for prefix, path in DOCUMENT_PARTS.items():
+        record = document.select(f"{path}.*").columns
+        shown += [f"{path}.{name} AS {prefix}_{name}" for name in record if name not in DOCUMENT_OWN]
+    return document.selectExpr(*shown, "targeting.top_decile_lift AS lift_vs_base")
+
+
+#: Fields of the document's records that the queries of the same contents don't have.
+DOCUMENT_OWN = ("customers", "monthly_recurring_revenue", "groups")
+
 QUERIES: dict[str, Query] = {
     # Sources, staging, features
     "raw_scan": raw_scan,
@@ -318,6 +341,7 @@ QUERIES: dict[str, Query] = {
     "significant_drivers": _on_staged(lambda book: model.significant_drivers(_coefficients(book))),
     "top_terms": _on_staged(lambda book: model.top_terms(_coefficients(book))),
     "metrics_document": _metrics_document,
+    "metrics_document_parts": _metrics_document_parts,
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..assumptions import DEFAULTS, Assumptions
@@ -14,10 +16,17 @@ class Analysis:
     """Every result of one account book.
 
     The extract, the accounts, the scored accounts and the small tables other results rest on
-    are written once and read back; everything else stays lazy on top of them.
+    are written once and read back; everything else stays lazy on top of them. Accounts are scored by a model fitted to
+    them, or by ``scorer``, which adds churn_probability; then there are no coefficients.
     """
 
-    def __init__(self, raw: DataFrame, staging_path: str | None = None, assumptions: Assumptions = DEFAULTS):
+    def __init__(
+        self,
+        raw: DataFrame,
+        staging_path: str | None = None,
+        assumptions: Assumptions = DEFAULTS,
+        scorer: Callable[[DataFrame], DataFrame] | None = None,
+    ):
         spark = raw.sparkSession
         # Read twice, for staging and for the quality log.
         self.raw = scratch.table(raw, "raw")
@@ -31,10 +40,15 @@ class Analysis:
         months = survival.months_gained(self.survival_by_contract).first().months_gained
         self.months_gained = F.lit(months).cast("double")
 
-        split = model.split_accounts(self.accounts, assumptions)
-        self.model = model.fit(split)
-        self.coefficients = self.model.coefficients(spark)
-        self.scored = targeting.with_deciles(self.model.score(split))
+        self.model = self.coefficients = None
+        if scorer:
+            scores = scorer(self.accounts)
+        else:
+            split = model.split_accounts(self.accounts, assumptions)
+            self.model = model.fit(split)
+            self.coefficients = self.model.coefficients(spark)
+            scores = self.model.score(split)
+        self.scored = targeting.with_deciles(scores)
         self.deciles = scratch.table(targeting.decile_table(self.scored), "deciles")
 
         self.segments = metrics.segment_revenue_lost(self.accounts)
@@ -45,10 +59,11 @@ class Analysis:
 
     def tables(self) -> dict[str, DataFrame]:
         """Result tables, at most a few dozen rows each."""
+        drivers = {"driver_odds_ratios": self.coefficients} if self.model else {}
         return {
             "hazard_by_tenure_month": self.hazard,
             "survival_by_contract": self.survival_by_contract,
-            "driver_odds_ratios": self.coefficients,
+            **drivers,
             "risk_deciles": self.deciles,
             "revenue_lost_by_segment": self.segments,
             "breakeven_sensitivity": self.sensitivity,
@@ -71,7 +86,6 @@ class Analysis:
             F.count(F.lit(1)).alias("customers"), F.sum("monthly_charges").alias("monthly_recurring_revenue")
         )
         value = economics.lifetime_value_by_segment(self.survival_by_contract, assumed)
-        top = model.top_terms(self.coefficients)
         parts = {
             "data_quality": _record(quality.quality_log(self.raw)),
             "book": _record(book),
@@ -80,9 +94,7 @@ class Analysis:
             "by_contract": _records(self.survival_by_contract, "churn_rate", descending=True),
             "logrank": _record(logrank.logrank_test(self.accounts)),
             "clv_by_contract": F.map_from_entries(_records(value, "segment")),
-            "fit": _record(model.fit_stats(self.model, self.scored)),
-            "top_risk_terms": _records(_side(top, "risk"), "odds_ratio", descending=True),
-            "top_protective_terms": _records(_side(top, "protective"), "odds_ratio", descending=True),
+            **self._model_parts(),
             "decile_table": _records(self.deciles, "decile"),
             "top_decile_lift": self.deciles.filter("decile = 1").select("lift_vs_base").scalar(),
             "breakeven": _record(economics.offer_breakeven(self.deciles, self.months_gained, assumed)),
@@ -96,13 +108,23 @@ class Analysis:
             "data_quality",
             "struct(book.*, risk.*) AS portfolio",
             "struct(median_tenure_overall, by_contract, logrank, clv_by_contract) AS survival",
-            "struct(fit.*, top_risk_terms, top_protective_terms) AS model",
+            *(["struct(fit.*, top_risk_terms, top_protective_terms) AS model"] if self.model else []),
             "struct(decile_table, top_decile_lift) AS targeting",
             """struct(breakeven.months_gained AS months_gained_on_contract_move, breakeven.mean_bill AS mean_bill_in_target,
                 breakeven.offer_cost_per_contact, breakeven.margin_saved_per_save, breakeven.breakeven_save_rate,
                 breakeven.months_gained, programme, programme_options, recommended_option, assumptions) AS economics""",
         )
 
+    def _model_parts(self) -> dict[str, Column]:
+        if not self.model:
+            return {}
+        top = model.top_terms(self.coefficients)
+        return {
+            "fit": _record(model.fit_stats(self.model, self.scored)),
+            "top_risk_terms": _records(_side(top, "risk"), "odds_ratio", descending=True),
+            "top_protective_terms": _records(_side(top, "protective"), "odds_ratio", descending=True),
+        }
+
 
 # Assumptions shown in the metrics document.
 REPORTED_ASSUMPTIONS = (

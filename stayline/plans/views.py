@@ -32,6 +32,13 @@ def create_staging(raw: DataFrame, path: str) -> DataFrame:
     return staged
 
 
+def save_staging(raw: DataFrame, name: str = "stg_customers") -> DataFrame:
+    """Write the account frame as a catalog table, replacing what is there: every session of the catalog reads it, and
+    ``create_views`` finds it unless the session has a view of that name."""
+    accounts_of(raw).write.mode("overwrite").saveAsTable(name)
+    return raw.sparkSession.table(name)
+
+
 def create_views(spark: SparkSession) -> None:
     """Define the KPI views over ``stg_customers``; each is computed when it is read."""
     accounts = spark.table("stg_customers")

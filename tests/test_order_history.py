@@ -93,6 +93,12 @@ def test_no_cartesian_product_anywhere(spark):
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_order_facts_are_hash_aggregates(spark):
+    frame = registry.queries()["account_features"](spark, str(SF_DIR))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_account_frame_columns(spark):
     accounts = views.accounts_of(order_history.raw_accounts(spark, str(SF_DIR)))
     kinds = dict(accounts.dtypes)

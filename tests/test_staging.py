@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 
 from stayline.operators import quality, staging
-from stayline.plans.views import accounts_of, create_staging, create_views
+from stayline.plans.views import accounts_of, create_staging, create_views, save_staging
 from stayline.sources import extract, scratch
 from tests.frames import PLAIN, book, raw_book, rows
 
@@ -128,6 +128,17 @@ def test_text_table_and_views(spark):
         assert spark.table(view).count() >= 1
 
 
+def test_another_session_sees_the_saved_table(spark):
+    save_staging(raw_book(spark, {}, {"Churn": "Yes"}), "saved_customers")
+    try:
+        other = spark.newSession()
+        other.table("saved_customers").createOrReplaceTempView("stg_customers")
+        create_views(other)
+        assert other.sql("SELECT churned_accounts, accounts FROM vw_portfolio_position").first()[:] == (1, 2)
+    finally:
+        spark.sql("DROP TABLE saved_customers")
+
+
 def test_files_with_different_headers_fail(spark, tmp_path):
     names = list(extract.FIELDS)
     for number, header in enumerate((names, names[::-1])):
