@@ -151,7 +151,7 @@ def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     {
                         "query_block": row["query_block"],
                         "low": low.tobytes(),
-                        "width": np.maximum(1, -(-width // BINS)).tobytes(),
+                        "width": np.maximum(1, width // BINS).tobytes(),
                         "need": need.tobytes(),
                     }
                 ],
@@ -189,7 +189,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def repeated(value: int) -> Column:
         return F.expr(f"unhex(repeat('{value.to_bytes(8, 'little', signed=True).hex()}', cast(length(query_ids) / 8 AS int)))")
 
-    width = max(1, -(-(2 * bound + 1) // BINS))
+    # A power of BINS, so that the parts of an interval are cut into whole parts again down to single values.
+    width = 1
+    while width * BINS < 2 * bound + 1:
+        width *= BINS
     state = written(
         asked.select("query_block", repeated(-bound).alias("low"), repeated(width).alias("width"), repeated(k).alias("need")),
         "state",
@@ -216,7 +219,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         )
         if width == 1:
             break
-        width = max(1, -(-width // BINS))
+        width //= BINS
     found = pairs(state).mapInArrow(
         _chosen, "query_block bigint, query bigint, query_id bigint, id bigint, score bigint"
     )

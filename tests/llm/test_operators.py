@@ -126,6 +126,21 @@ def test_top_k(spark, edge):
     assert any(a[:1] == b[:1] and a[3] == b[3] for a, b in zip(sorted(expected), sorted(expected)[1:]))
 
 
+def test_top_k_when_scores_lie_close_above_a_part(spark):
+    """Intervals that are no whole number of parts wide must not count the scores above them again."""
+    dice = np.random.default_rng(0)
+    vectors = dice.integers(-1000, 1000, (400, 2)).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, vector array<long>").repartition(3)
+    expected = []
+    for query in range(0, 400, 10):
+        scored = sorted(
+            (-sum(a * b for a, b in zip(vectors[query], right)), name) for name, right in enumerate(vectors) if name != query
+        )
+        expected += [(query, rank, name, -score) for rank, (score, name) in enumerate(scored[:10], 1)]
+    found = exact_topk.top_k(rows, rows.where("id % 10 = 0"), 10).collect()
+    assert sorted(tuple(r) for r in found) == expected
+
+
 # 5: quality rules
 
 
