@@ -102,7 +102,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours of a sorted range. many: another suffix has the same text around it; head: the first such one of the
-    range; open: the windows have to be looked at; source: the head's doc_id."""
+    range; open: the windows have to be looked at; source: the head's place."""
     table = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
     if table is None:
         return
@@ -117,20 +117,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = in_run[run] > 1
     opened = head & ((runs[group] > 1) | edge[group])
     heads = np.flatnonzero(head)[run]
-    source = table["doc_id"].take(pa.array(heads))
+    source = table.select(["doc_id", "tie", "first"]).take(pa.array(heads))
     chosen = pa.array(np.flatnonzero(kept))
     found = pa.table(
         [
             table["doc_id"], table["tie"], table["first"], table["n"],
-            pa.array(many), pa.array(head), pa.array(opened), source,
+            pa.array(many), pa.array(head), pa.array(opened), *source.columns,
         ],
-        ["doc_id", "tie", "first", "n", "many", "head", "open", "source"],
+        ["doc_id", "tie", "first", "n", "many", "head", "open", "source", "source_tie", "source_first"],
     ).take(chosen)
     yield from found.combine_chunks().to_batches(max_chunksize=50_000)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows of each document's open suffixes."""
+    """Hashes of the windows of each document's open suffixes. leads: the first window of a head that has copies."""
     for batch in batches:
         for row in (row for at in range(0, batch.num_rows, 200) for row in batch.slice(at, 200).to_pylist()):
             text = row["text"].encode("utf-8", "surrogatepass")
@@ -138,18 +138,21 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([x["n"] for x in row["open"]])
             many = np.repeat(np.array([x["many"] for x in row["open"]]), n)
             start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            leads = many & (start == np.repeat(first, n))
             one, two = (signed(Ranges(next(words.of([text]))).of(start, start + MATCH)) for words in _words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(one), pa.array(two), pa.array([row["doc_id"]] * len(start), pa.int64()),
                     pa.array([row["tie"]] * len(start), pa.int32()), pa.array(start.astype(np.int32)), pa.array(many),
+                    pa.array(leads),
                 ],
-                ["one", "two", "doc_id", "tie", "first", "many"],
+                ["one", "two", "doc_id", "tie", "first", "many", "leads"],
             )
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Repeated pieces of each document: doc_id, tie, first word, n windows, kept (the first place), source (its doc_id)."""
+    """Repeated pieces of each document: doc_id, tie, first word, n windows, kept (the first place), source (the
+    doc_id of the first window's first place)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tie(), "text")
     table = written(texts.mapInArrow(_suffix_rows, SUFFIX), "suffixes")
@@ -158,12 +161,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     compared = written(
         table.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
-        .mapInArrow(_compared, "doc_id long, tie int, first int, n int, many boolean, head boolean, open boolean, source long"),
+        .mapInArrow(
+            _compared,
+            "doc_id long, tie int, first int, n int, many boolean, head boolean, open boolean, source long, source_tie int, "
+            "source_first int",
+        ),
         "compared",
     )
-    whole = compared.where("NOT open AND many").select(
-        "doc_id", "tie", "first", "n", F.col("head").alias("kept"), "source"
-    )
+    whole = compared.where("NOT open AND many")
     keys = document_keys("doc_id", "tie")
     opened = (
         compared.where("open")
@@ -175,7 +180,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     windows = written(
         single.join(opened, KEYS)
         .select(F.expr("IF(known, id, NULL)").alias("doc_id"), "tie", "text", "open")
-        .mapInArrow(_window_rows, "one long, two long, doc_id long, tie int, first int, many boolean"),
+        .mapInArrow(_window_rows, "one long, two long, doc_id long, tie int, first int, many boolean, leads boolean"),
         "windows",
     )
     place = F.struct("doc_id", "tie", "first")
@@ -192,6 +197,31 @@ def repeated(docs: DataFrame) -> DataFrame:
         place.eqNullSafe(F.col("earliest")).alias("kept"),
         F.col("earliest.doc_id").alias("source"),
     )
+    # An open head's windows may occur earlier, beyond its range or with another text around them: its copies, which sent
+    # none, follow it to that place. Heads that are the first place themselves need no row.
+    moved = (
+        windows.where("leads")
+        .join(twice, ["one", "two"])
+        .where(~place.eqNullSafe(F.col("earliest")))
+        .select(
+            *document_keys("doc_id", "tie"), F.col("first").alias("at"), F.struct("earliest.doc_id").alias("earlier")
+        )
+    )
+    whole = (
+        whole.select(
+            "doc_id", F.col("tie").alias("own_tie"), "first", "n", "head", "source",
+            *document_keys("source", "source_tie"), F.col("source_first").alias("at"),
+        )
+        .join(moved, [*KEYS, "at"], "left")
+        .select(
+            "doc_id",
+            F.col("own_tie").alias("tie"),
+            "first",
+            "n",
+            F.col("head").alias("kept"),
+            F.expr("IF(earlier IS NULL, source, earlier.doc_id)").alias("source"),
+        )
+    )
     return whole.unionByName(single_windows)
 
 

@@ -127,6 +127,46 @@ def test_repeats(spark, edge, copies, name):
             assert texts[key] == text
 
 
+def sources(rows):
+    """Of (id, text): the document of the first place of each repeated passage's first window."""
+    found = defaultdict(list)
+    for name, text in rows:
+        w = words(text)
+        for i in range(len(w) - 49):
+            found[tuple(w[i : i + 50])].append((name, i))
+    first = {place: min(places)[0] for places in found.values() if len(places) > 1 for place in places}
+    expected, last = set(), None
+    for name, i in sorted(first):
+        if last is None or last[0] != name or i > last[1] + 50:
+            expected.add((name, i, first[name, i]))
+        last = name, i
+    return expected
+
+
+def test_source_of_copies_that_send_no_windows(spark):
+    """The first document holds the passage among other text; copies of another one name it all the same."""
+    passage = " ".join(f"p{i}" for i in range(52))
+    copy = passage + " " + " ".join(f"t{i}" for i in range(200))
+    rows = [(3, " ".join(f"o{i}" for i in range(60)) + f" {passage} and on " + " ".join(f"r{i}" for i in range(60)))]
+    rows += [(name, copy) for name in (5, 9, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["first_word"], r["source_id"]) for r in suffix_dedup.spans(docs).collect()}
+    assert found == sources(rows) == {(3, 60, 3), (5, 0, 3), (9, 0, 3), (11, 0, 3)}
+
+
+def test_source_of_a_run_over_several_ranges(spark, monkeypatch):
+    """Copies enough that ranges cut the run of one suffix."""
+    monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", 40)
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "pieces_of", lambda rows, each: sizes.append(rows) or -(-rows // each))
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(None, "x y")] + [(name, passage) for name in range(2, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["first_word"], r["source_id"]) for r in suffix_dedup.spans(docs.repartition(4)).collect()}
+    assert found == sources(rows[1:]) == {(name, 0, 2) for name in range(2, 600)}
+    assert sizes[0] > 10 * suffix_dedup.SORTED_ROWS
+
+
 def test_repeated_rows_both_stay(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(1, text), (1, text), (2, "before " + text + " after"), (None, "x " + text)]
