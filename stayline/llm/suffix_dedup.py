@@ -2,12 +2,13 @@
 
 A suffix is retained where the hash of its first ``GRAM`` words is the smallest of a run of such hashes (a minimiser).
 Every ``MATCH``-word window has exactly one minimiser, at the same place in each of its copies, so two copies of a window
-always meet at a retained suffix. Suffixes are sorted by those words and by the text around them that their windows
-cover, and each is compared with its neighbours:
+always meet at a retained suffix. Suffixes are sorted by a hash of those words and a hash of the text around them that
+their windows cover, and each is compared with its neighbours by these hashes:
 
 * a suffix whose neighbour has the same text around it repeats with all its windows;
-* otherwise the match is extended left and right word by word: the windows around the suffix are hashed, and those found
-  twice repeat. Copies with the same text around them send their windows once.
+* otherwise 128-bit fingerprints of all windows around the suffix are grouped over the whole table, and those found twice
+  repeat. No match is extended word by word: that would need both texts where two suffixes meet. Copies with the same text
+  around them send their windows once.
 
 Sorting ranges over all columns, so a frequent passage is spread over tasks; what a task cannot see beyond the edges of
 its range it hands to the second step. Windows are counted before they are shuffled. Documents are told apart by id and a
