@@ -396,8 +396,9 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), n_shingles and component_id (the smallest doc_id reachable) of each document."""
+def _homes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows as of ``sets``; and name, place (the first document, those without an id last) and home of each set: sets of
+    one home are linked."""
     rows = written(sets(docs), "sets")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     nodes = (
@@ -420,8 +421,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     )
     entries = written(prefixes(tokens), "entries")
     home = links(entries, tokens)
-    homes = nodes.join(home, "name", "left").select("name", "doc_id", F.coalesce("home", "name").alias("home"))
-    smallest = homes.groupBy("home").agg(F.min("doc_id").alias("component_id"))
+    return rows, nodes.join(home, "name", "left").select(
+        "name", place.alias("place"), F.coalesce("home", "name").alias("home")
+    )
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text), n_shingles and component_id (the smallest doc_id reachable) of each document."""
+    rows, homes = _homes(docs)
+    smallest = homes.groupBy("home").agg(F.min("place.doc_id").alias("component_id"))
     component = homes.join(smallest, "home").select("name", "component_id")
     return rows.join(component, "name", "left").select(
         "doc_id",
@@ -432,12 +440,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the row of the smallest doc_id, all columns kept. Rows without words stay."""
-    groups = similar_groups(docs).where("n_shingles > 0")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
-    stays = first.where("component_id IS NOT NULL").select("first.doc_id", "first.tie")
-    gone = groups.alias("g").join(stays.alias("s"), "doc_id", "left")
-    gone = gone.where("g.component_id IS NOT NULL AND NOT (g.doc_id <=> s.doc_id AND g.tie <=> s.tie)")
-    gone = gone.select("g.doc_id", "g.tie").distinct()
-    same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("d.text") == F.col("x.tie"))
-    return docs.alias("d").join(gone.alias("x"), same, "left_anti")
+    """One row of each group stays, with all its columns: one of the smallest doc_id, of a group without ids any one text.
+    Rows without words stay."""
+    _, homes = _homes(docs)
+    first = homes.groupBy("home").agg(F.min("place").alias("place")).select("place.doc_id", "place.tie")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Repeated rows are taken together before the shuffle, and by the join's keys, so that texts are shuffled once.
+    each = docs.where(worded).select(
+        F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("id_"), F.xxhash64("text").alias("tie_")
+    )
+    each = each.groupBy(*document_keys("id_", "tie_")).agg(F.first("document").alias("document"))
+    kept = each.join(first.select(*document_keys("doc_id", "tie")), KEYS).select("document.*")
+    return docs.where(~worded).union(kept)

@@ -106,6 +106,21 @@ def test_groups_with_odd_ids(spark):
     ]
 
 
+def test_one_physical_row_of_each_group_stays(spark):
+    """Repeated rows, copies without an id, and groups where some have one; rows without words all stay."""
+    texts = [" ".join(f"{letter}{i}" for i in range(40)) for letter in "abcd"]
+    rows = [(1, texts[0])] * 3 + [(2, texts[0] + " more")]
+    rows += [(None, texts[1])] * 2 + [(None, texts[1] + " more")]
+    rows += [(None, texts[2]), (7, texts[2]), (8, texts[2])] + [(9, texts[3])] + [(None, " "), (None, " "), (4, None), (4, None)]
+    docs = spark.createDataFrame([(name, text, i) for i, (name, text) in enumerate(rows)], "doc_id long, text string, row long")
+    (_, stage), = [x for x in corpus_pipeline.STAGES if x[0] == "jaccard_join"]
+    found = [tuple(r) for r in stage(spark, docs.repartition(3), "").collect()]
+    assert all(rows[row] == (name, text) for name, text, row in found)
+    assert len({row for _, _, row in found}) == len(found)
+    assert sorted(str(name) for name, text, _ in found if words(text)) == ["1", "7", "9", "None"]
+    assert sorted(str(name) for name, text, _ in found if not words(text)) == ["4", "4", "None", "None"]
+
+
 @pytest.mark.parametrize("name", ["edge", "copies"])
 def test_repeats(spark, edge, copies, name):
     docs = spark.read.parquet(f"{edge}/documents.parquet") if name == "edge" else spark.createDataFrame(copies, "doc_id long, text string")
