@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ HEADER = struct.Struct("<8sIIQQQqQQQB")
 SEGMENT_IDS = 1 << 19
 FILE_SEGMENTS = 16
 SAMPLED = 256
+READ_DOCUMENTS = 1000
 READ = "doc_id bigint, part int, start bigint, n_tokens bigint, ids binary"
 
 
@@ -134,13 +136,16 @@ def segments(content: bytes) -> Iterator[tuple[tuple, bytes]]:
         at += size + len(TRAILER)
 
 
-def documents_of(head: tuple, body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, ends and ids of a segment."""
+def documents_of(head: tuple, body: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """Document id, start and ids of each document of a segment; its bounds and its name are selected one by one."""
     _, _, _, _, _, nulls, base, ends_size, names_size, _, width = head
-    ends = EliasFano.from_bytes(body[:ends_size]).values().astype(np.int64)
-    names = EliasFano.from_bytes(body[ends_size : ends_size + names_size]).values()
-    ids = np.frombuffer(body, f"<u{width}", -1, ends_size + names_size).astype("<u4")
-    return [None] * nulls + [int(x) + base for x in names], ends, ids
+    ends = EliasFano.from_bytes(body[:ends_size])
+    names = EliasFano.from_bytes(body[ends_size : ends_size + names_size])
+    ids = np.frombuffer(body, f"<u{width}", -1, ends_size + names_size)
+    end = 0
+    for at in range(ends.count):
+        start, end = end, ends.select(at)
+        yield None if at < nulls else names.select(at - nulls) + base, start, ids[start:end].astype("<u4")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cuts: str = "words") -> None:
@@ -202,18 +207,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 for head, body in segments(content.as_py()):
-                    names, ends, ids = documents_of(head, body)
-                    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(names, pa.int64()),
-                            pa.array([head[1]] * len(names), pa.int32()),
-                            pa.array(starts + head[3]),
-                            pa.array(ends - starts),
-                            pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                        ],
-                        schema=schema,
-                    )
+                    found = documents_of(head, body)
+                    while some := list(islice(found, READ_DOCUMENTS)):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([name for name, _, _ in some], pa.int64()),
+                                pa.array([head[1]] * len(some), pa.int32()),
+                                pa.array([start + head[3] for _, start, _ in some], pa.int64()),
+                                pa.array([len(ids) for _, _, ids in some], pa.int64()),
+                                pa.array([ids.tobytes() for _, _, ids in some], pa.binary()),
+                            ],
+                            schema=schema,
+                        )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

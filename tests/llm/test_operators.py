@@ -372,6 +372,18 @@ def test_elias_fano_sequence(values):
         assert len(coded.to_bytes()) < len(values)  # under 8 bits a value
 
 
+def test_documents_are_found_by_select(monkeypatch):
+    """Reading a segment expands neither of its sequences."""
+    names = [None, None, -7, -7, *range(0, 9000, 9)]
+    rows = [np.arange(i % 40 + 1, dtype="<u4") + i for i in range(len(names))]
+    ((head, body),) = elias_fano.segments(elias_fano.segment(0, 0, 0, names, [r.tobytes() for r in rows]) + elias_fano.TRAILER.encode())
+    monkeypatch.delattr(elias_fano.EliasFano, "values")
+    found = list(elias_fano.documents_of(head, body))
+    assert [name for name, _, _ in found] == names
+    assert [start for _, start, _ in found] == np.cumsum([0, *map(len, rows[:-1])]).tolist()
+    assert all(np.array_equal(ids, row) for (_, _, ids), row in zip(found, rows))
+
+
 def test_archive_of_small_segments(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(elias_fano, "SEGMENT_IDS", 20)
     docs = spark.createDataFrame([(i - 50, f"{i} some words here {'x ' * (i % 9)}") for i in range(100)] + [(None, None)], "doc_id long, text string")
