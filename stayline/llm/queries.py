@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
-from . import byte_bpe, elias_fano, exact_topk, jaccard_join, language_id, oracle, packing, quality_rules, suffix_dedup, token_counts, warc
+from . import byte_bpe, elias_fano, exact_topk, jaccard_join, language_id, oracle, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,19 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, every tenth of them made to loop."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.zip_with(
+        F.arrays_zip("starts", "lengths"), "periods", lambda run, period: F.concat_ws(",", run["starts"], run["lengths"], period)
+    )
+    return periodic_runs.periodic_runs(docs, periodic_runs.looped).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -118,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_elias_fano": op10_elias_fano,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
