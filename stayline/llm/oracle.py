@@ -88,6 +88,12 @@ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN reached r ON r.a
 GROUP BY d.doc_id
 """
 
+_COPIES = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 # Fixed value: the reversed polynomial of CRC-32. Pairs of equal words q apart make the stretches; a stretch that a
 # stretch of a smaller period holds is no run of its own.
 _RUNS = """
@@ -137,5 +143,6 @@ STATEMENTS = {
     "op4_exact_topk": _TOP_K,
     "op6_warc": _WARC,
     "op9_jaccard_join": _GROUPS,
+    "op11_exact_dedup": _COPIES,
     "op13_periodic_runs": _RUNS,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
-from . import byte_bpe, elias_fano, exact_topk, jaccard_join, language_id, oracle, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, warc
+from . import byte_bpe, elias_fano, exact_dedup, exact_topk, jaccard_join, language_id, oracle, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,11 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts: the row that stays, the group's size and the text's digest, for every row."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, every tenth of them made to loop."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_elias_fano": op10_elias_fano,
+    "op11_exact_dedup": op11_exact_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
