@@ -94,6 +94,39 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+_PHRASES = """
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t
+    FROM documents
+), split AS (
+    SELECT lang, list_filter(regexp_split_to_array(t, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), counts AS (
+    SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS t, k, count(*) AS f
+    FROM split, unnest(range(1, 5)) AS s(k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS r(i) GROUP BY ALL
+), often AS (
+    SELECT lang, t, string_split(t, ' ') AS p, k, f FROM counts WHERE f >= 30
+), held AS (
+    SELECT lang, array_to_string(p[i:i + m - 1], ' ') AS t, max(f) AS longer
+    FROM often, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS r(i) GROUP BY ALL
+), free AS (
+    SELECT c.* FROM often c LEFT JOIN held h ON h.lang = c.lang AND h.t = c.t
+    WHERE c.k > 1 AND (h.longer IS NULL OR 100 * h.longer::HUGEINT < 80 * c.f::HUGEINT)
+), cuts AS (
+    SELECT lang, t, f AS a, j, array_to_string(p[1:j], ' ') AS head, array_to_string(p[j + 1:k], ' ') AS rest
+    FROM free, unnest(range(1, k)) AS s(j)
+), scored AS (
+    SELECT c.*, x.f AS l, y.f AS r, (2000000 * a::HUGEINT // (x.f + y.f))::BIGINT AS score
+    FROM cuts c JOIN often x ON x.lang = c.lang AND x.t = c.head JOIN often y ON y.lang = c.lang AND y.t = c.rest
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, j) = 1
+), ranked AS (
+    SELECT *, t AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, t) AS rank FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 # Fixed value: the reversed polynomial of CRC-32. Pairs of equal words q apart make the stretches; a stretch that a
 # stretch of a smaller period holds is no run of its own.
 _RUNS = """
@@ -144,5 +177,6 @@ STATEMENTS = {
     "op6_warc": _WARC,
     "op9_jaccard_join": _GROUPS,
     "op11_exact_dedup": _COPIES,
+    "op12_collocations": _PHRASES,
     "op13_periodic_runs": _RUNS,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
-from . import byte_bpe, elias_fano, exact_dedup, exact_topk, jaccard_join, language_id, oracle, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, warc
+from . import byte_bpe, collocations, elias_fano, exact_dedup, exact_topk, jaccard_join, language_id, oracle, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), 2000)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, every tenth of them made to loop."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_elias_fano": op10_elias_fano,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
