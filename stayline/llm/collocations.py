@@ -40,7 +40,7 @@ HELD = 80  # hundredths of a phrase's count that a longer one must have to hold
 UNKNOWN = "und"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text cut into words at a time, words of a shard, bytes of text for each prefix range.
-SLAB, SHARD, RANGE = 1 << 22, 2_000_000, 1 << 25
+SLAB, SHARD, RANGE = 1 << 21, 1_250_000, 1 << 25
 SIEVE_BITS = 1 << 24
 
 LOWER = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
