@@ -1,4 +1,4 @@
-"""Commercial assumptions: everything the data cannot tell lives here."""
+"""Margins, discounts, horizons and grids with their defaults, passed to the operators that use them."""
 
 from __future__ import annotations
 

@@ -281,7 +281,7 @@ QUERIES: dict[str, Query] = {
     "months_gained": _on_accounts(lambda book: survival.months_gained(survival.survival_summary(book))),
     "logrank_terms": _on_accounts(logrank.logrank_terms),
     "logrank_covariance": _on_accounts(logrank.logrank_covariance),
-    "logrank_test": _on_accounts(lambda book: logrank.logrank_test(book).drop("groups")),
+    "logrank_test": _on_accounts(logrank.logrank_test),
     # Who to contact
     "design_matrix_dense": _on_staged(model.design_matrix),
     "stratified_split": _on_accounts(

@@ -92,7 +92,7 @@ class Analysis:
             "risk": _record(risk),
             "median_tenure_overall": survival.median_survival(self.accounts).scalar(),
             "by_contract": _records(self.survival_by_contract, "churn_rate", descending=True),
-            "logrank": _record(logrank.logrank_test(self.accounts)),
+            "logrank": _record(logrank.logrank_test(self.accounts, groups=True)),
             "clv_by_contract": F.map_from_entries(_records(value, "segment")),
             **self._model_parts(),
             "decile_table": _records(self.deciles, "decile"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayline.operators import logrank, survival
+from stayline.sources import scratch
 from tests.frames import book, lives, rows
 
 # At-risk and leaver counts of months 0 to 72 of a published 7,043-account book.
@@ -143,14 +144,14 @@ def test_logrank_equals_its_definition(spark):
 
     gap = np.array(observed) - np.array(expected)
     statistic = gap[:-1] @ np.linalg.pinv(np.array(cov)[:-1, :-1]) @ gap[:-1]
-    (test,) = rows(logrank.logrank_test(accounts))
+    (test,) = rows(logrank.logrank_test(accounts, groups=True))
     assert test["statistic"] == pytest.approx(statistic) and test["degrees_of_freedom"] == 3
     assert test["groups"] == groups
 
 
 def test_logrank_without_leavers(spark):
     accounts = book(spark, {"Contract": "One year"}, {"Contract": "Two year"})
-    (test,) = rows(logrank.logrank_test(accounts))
+    (test,) = rows(logrank.logrank_test(accounts, groups=True))
     assert (test["statistic"], test["degrees_of_freedom"], test["p_value"]) == (0.0, 1, 1.0)
 
 
@@ -160,7 +161,7 @@ def test_logrank_of_many_segments(spark):
 
     data = [(f"plan {i % 2000:04}", (5 * i * i + i // 7) % 11, i % 3 != 1) for i in range(6000)]
     accounts = book(spark, *[{"Contract": g, "tenure": t, "Churn": "Yes" if e else "No"} for g, t, e in data])
-    (test,) = rows(logrank.logrank_test(accounts))
+    (test,) = rows(logrank.logrank_test(accounts, groups=True))
     groups, observed, expected, covariance = by_definition(data)
     gap = np.array(observed) - np.array(expected)
     statistic = gap[:-1] @ np.linalg.pinv(covariance[:-1, :-1], hermitian=True) @ gap[:-1]
@@ -192,3 +193,22 @@ def test_chi_square_tail():
 def test_accounts_without_a_segment_are_left_out(spark):
     accounts = lives(spark, (1, 1), (2, 0)).withColumn("team", F.when(F.col("tenure_months") == 1, "x"))
     assert [row["segment"] for row in rows(survival.survival_summary(accounts, "team"))] == ["x"]
+
+
+def test_logrank_takes_five_jobs_from_a_written_book(spark):
+    data = [("ABC"[i % 3], (5 * i * i + i) % 23, i % 3 != 1) for i in range(90)]
+    accounts = scratch.table(book(spark, *[{"Contract": g, "tenure": t, "Churn": "Yes" if e else "No"} for g, t, e in data]), "book")
+    spark.sparkContext.setJobGroup("logrank", "one test")
+    logrank.logrank_test(accounts).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("logrank")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 5
+
+
+def test_logrank_system_is_summed_over_tasks(spark):
+    """More segments than a block and than tasks, in any partitioning: one statistic."""
+    data = [(f"plan {i % 1500:04}", (3 * i * i + i // 5) % 17, i % 4 != 1) for i in range(4500)]
+    accounts = scratch.table(book(spark, *[{"Contract": g, "tenure": t, "Churn": "Yes" if e else "No"} for g, t, e in data]), "book")
+    found = [rows(logrank.logrank_test(some))[0] for some in (accounts, accounts.repartition(40))]
+    assert found[0]["statistic"] == pytest.approx(found[1]["statistic"], rel=1e-9)
+    assert found[0]["degrees_of_freedom"] == found[1]["degrees_of_freedom"] == 1499
