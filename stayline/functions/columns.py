@@ -130,8 +130,3 @@ def decile(rank: str, population: str) -> str:
     span = f"({population} - 1)"
     steps = f"(({rank} - 1) * 10 + {span} - 1) div nullif({span}, 0)"
     return f"CAST(greatest(1, coalesce({steps}, 1)) AS INT)"
-
-
-def share_of(count: str, share: str) -> str:
-    """Whole number nearest to count * share, in exact decimal arithmetic."""
-    return f"CAST(floor({count} * {share}BD + 0.5BD) AS BIGINT)"

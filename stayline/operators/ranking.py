@@ -1,4 +1,4 @@
-"""Exact ranks over all accounts without a single-task window.
+"""Exact ranks over all accounts without a single-task window, and an exact random split.
 
 Rows are range-partitioned on the full sort key, which the row id makes unique, so neither
 tied scores nor copies of an account can pile up in one partition. Each sorted row gets a
@@ -8,11 +8,14 @@ plus the sizes of the partitions before, a frame of one row per partition.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..assumptions import DEFAULTS
-from ..functions.columns import grouped, literal, quoted, ratio, share_of
+from ..functions.columns import grouped, literal, quoted, ratio
 from ..sources import scratch
+from . import selection
 
 ROW = "_row"
 STRATUM = "is_churned"
@@ -97,21 +100,20 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: exactly the given share, rounded, of leavers and of stayers is 'test'.
 
-    Rows are drawn in the order of a hash of key and seed. Only that narrow key is sorted;
-    the frame itself is compared with the last drawn key of its stratum and not shuffled.
+    Rows are drawn in the order of a hash of key and seed. The last drawn key of each stratum is selected by histograms and
+    the rows are compared with it: nothing is sorted or moved. The frame is read a few times, so write it first if it is
+    costly; of rows with one key no choice is made beyond their number.
     """
-    columns = df.columns
-    draw = f"md5(CAST({quoted(key)} AS STRING) || {literal(f'|{seed}')}) AS _draw"
-    rows = with_row_ids(df.selectExpr("*", draw))
-    drawn = number(rows.select(STRATUM, "_draw", key, ROW), STRATUM, "_draw", key)
-    place = f"struct(_draw, {quoted(key)}, {ROW})"
-    # The stratum is a 0/1 flag, so these are two rows each.
-    strata = grouped(drawn, {STRATUM: STRATUM}, {_FIRST: "min(rn)", "_size": "count(1)"})
-    last = (
-        drawn.join(F.broadcast(strata), STRATUM)
-        .filter(f"rn = {_FIRST} + {share_of('_size', share)} - 1")
-        .selectExpr(STRATUM, f"{place} AS _last")
-    )
-    return rows.join(F.broadcast(last), STRATUM, "left").selectExpr(
-        *[quoted(name) for name in columns], f"CASE WHEN {place} <= _last THEN 'test' ELSE 'train' END AS split"
+    draw = f"md5(CAST({quoted(key)} AS STRING) || {literal(f'|{seed}')}) || '|' || CAST({quoted(key)} AS STRING)"
+    order = selection.Order(text=draw, stratum=STRATUM)
+    last = selection.cuts(df, order, lambda size: [rank for rank in [share_of_whole(size, share)] if rank])
+    drawn = " OR ".join([f"CAST({STRATUM} AS STRING) = {literal(cut.stratum)}" for cut in last] or ["false"])
+    columns = [quoted(name) for name in df.columns]
+    return selection.with_cuts_before(df, order, last, "_after").selectExpr(
+        *columns, f"CASE WHEN _after = 0 AND ({drawn}) THEN 'test' ELSE 'train' END AS split"
     )
+
+
+def share_of_whole(count: int, share: str) -> int:
+    """The whole number nearest to count * share, halves up."""
+    return int((count * Decimal(share) + Decimal("0.5")) // 1)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..assumptions import DEFAULTS
 from ..functions.columns import decile, grouped, mean, money_or_zero, money_total, quoted, ratio
-from .ranking import ROW, number, ranked, with_row_ids
+from . import selection
+from .ranking import ranked
 
 SCORE = "churn_probability"
 
@@ -25,24 +26,17 @@ def scored_accounts(accounts: DataFrame, split: str | None = None) -> DataFrame:
 
 
 def with_deciles(accounts: DataFrame, split: str | None = None) -> DataFrame:
-    """Add ``decile`` alone to scored accounts, the same as ``scored_accounts`` gives, without moving them.
+    """Add ``decile`` alone to scored accounts, the same as ``scored_accounts`` gives, without sorting or moving them.
 
-    Only score, customer id and row id are sorted; the accounts are compared with the last key of each tenth.
+    The last key of each of the first nine tenths is selected by histograms, and the accounts are compared with it. They are
+    read a few times: write them first if their scores are costly.
     """
     if split is not None:
         accounts = accounts.filter(F.col("split") == split)
+    order = selection.Order(text="customer_id", value=f"-{SCORE}")
+    last = selection.cuts(accounts, order, lambda size: [1 + (size - 1) * j // 10 for j in range(1, 10)])
     columns = [quoted(name) for name in accounts.columns]
-    rows = with_row_ids(accounts)
-    # Ascending form of the ranking's order: NaN first, NULL last, then the larger score.
-    key = f"struct({SCORE} IS NULL, NOT isnan({SCORE}), -{SCORE}, customer_id, {ROW})"
-    ranks = number(rows.select(SCORE, "customer_id", ROW), F.desc(SCORE), F.asc("customer_id"))
-    tenth = decile("rn", "n")
-    # Ten rows at most.
-    last = ranks.filter(f"rn = n OR {tenth} <> {decile('(rn + 1)', 'n')}")
-    tenths = last.agg(F.collect_list(F.expr(f"struct({key} AS last, {tenth} AS decile)"))).scalar()
-    return rows.withColumn("_tenths", tenths).selectExpr(
-        *columns, f"array_min(transform(filter(_tenths, t -> {key} <= t.last), t -> t.decile)) AS decile"
-    )
+    return selection.with_cuts_before(accounts, order, last, "_before").selectExpr(*columns, "_before + 1 AS decile")
 
 
 def decile_table(scored: DataFrame) -> DataFrame:

@@ -91,9 +91,9 @@ def scored(book: DataFrame) -> DataFrame:
 
 
 def in_deciles(book: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of scored accounts, and their decile: nothing else is written or sorted."""
+    """The named columns of scored accounts, written once, and their decile."""
     names = dict.fromkeys(["customer_id", "churn_probability", *columns])
-    return targeting.with_deciles(with_scorecard(book).select(*names))
+    return targeting.with_deciles(scratch.table(with_scorecard(book).select(*names), "scores"))
 
 
 def deciles(book: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _scorecard_scores(book: DataFrame) -> DataFrame:
 
 
 def _score_aucs(book: DataFrame) -> DataFrame:
-    scores = with_scorecard(book).select("customer_id", "is_churned", "churn_probability")
+    scores = scratch.table(with_scorecard(book).select("customer_id", "is_churned", "churn_probability"), "scores")
     return ranking.auc(ranking.stratified_split(scores), "churn_probability", "is_churned", by="split")
 
 
@@ -186,7 +186,7 @@ def _customer_risk(book: DataFrame) -> DataFrame:
 
 def _contract_model(book: DataFrame) -> tuple[model.DriverModel, DataFrame]:
     """A model of one field: its maximum is known in closed form."""
-    split = model.split_accounts(book.select("customer_id", "is_churned", "contract_type"))
+    split = model.split_accounts(scratch.table(book.select("customer_id", "is_churned", "contract_type"), "labels"))
     return model.fit(split, ["Contract"]), split
 
 
@@ -285,7 +285,7 @@ QUERIES: dict[str, Query] = {
     # Who to contact
     "design_matrix_dense": _on_staged(model.design_matrix),
     "stratified_split": _on_accounts(
-        lambda book: ranking.stratified_split(book.select("customer_id", "is_churned"))
+        lambda book: ranking.stratified_split(scratch.table(book.select("customer_id", "is_churned"), "labels"))
     ),
     "scorecard_scores": _on_accounts(_scorecard_scores),
     "scored_accounts": _on_accounts(
