@@ -130,19 +130,23 @@ class DriverModel:
             for (term, weight), error in zip(self.weights.items(), self.standard_errors.values())
         ]
         table = few_rows(spark, ("term", "coefficient", "error", "p_value"), rows)
-        reach = f"{number(WALD_QUANTILE)} * error"
-        return table.selectExpr(
-            "term",
-            "coefficient",
-            "exp(coefficient) AS odds_ratio",
-            f"exp(coefficient - {reach}) AS or_lo",
-            f"exp(coefficient + {reach}) AS or_hi",
-            "p_value",
-        ).orderBy(F.desc("odds_ratio"), "term")
+        return _with_bounds(table, "term")
 
 
-def _two_sided(weight: float, error: float) -> float | None:
-    return math.erfc(abs(weight / error) / math.sqrt(2)) if error else None
+def _with_bounds(table: DataFrame, *names: str) -> DataFrame:
+    reach = f"{number(WALD_QUANTILE)} * error"
+    return table.selectExpr(
+        *names,
+        "coefficient",
+        "exp(coefficient) AS odds_ratio",
+        f"exp(coefficient - {reach}) AS or_lo",
+        f"exp(coefficient + {reach}) AS or_hi",
+        "p_value",
+    ).orderBy(F.desc("odds_ratio"), "term")
+
+
+def _two_sided(weight: float | None, error: float | None) -> float | None:
+    return math.erfc(abs(weight / error) / math.sqrt(2)) if error and weight is not None else None
 
 
 def fit(split_accounts: DataFrame, fields: Collection[str] | None = None) -> DriverModel:
@@ -171,6 +175,40 @@ def fit(split_accounts: DataFrame, fields: Collection[str] | None = None) -> Dri
         train.unpersist()
 
 
+def field_odds_ratios(split_accounts: DataFrame) -> DataFrame:
+    """For each categorical field a model of that field alone, fitted to the training rows in closed form: log odds of its
+    levels against the one that sorts first. All come from one count of leavers by field and level; a level that nobody or
+    everybody left has no finite estimate and NULLs.
+    """
+    fields = _categories()
+    levels = split_accounts.filter("split = 'train'").selectExpr("is_churned", *named(fields)).unpivot(
+        ["is_churned"], list(fields), "field", "level"
+    )
+    counts = grouped(
+        levels.filter("level IS NOT NULL"),
+        {"field": "field", "level": "level"},
+        {"y": "CAST(sum(is_churned) AS DOUBLE)", "m": "CAST(sum(1 - is_churned) AS DOUBLE)"},
+    )
+    base = "(PARTITION BY field ORDER BY level)"
+    slopes = counts.selectExpr("*", f"first(y) OVER {base} AS y0", f"first(m) OVER {base} AS m0", f"row_number() OVER {base} AS n")
+    term = "replace(replace(replace(field || '_' || level, ' ', '_'), '(', ''), ')', '')"
+    known = slopes.filter("n > 1").selectExpr(
+        "field",
+        f"{term} AS term",
+        "CASE WHEN least(y, m, y0, m0) > 0 THEN ln(y * m0 / (m * y0)) END AS coefficient",
+        "sqrt(1 / nullif(y, 0D) + 1 / nullif(m, 0D) + 1 / nullif(y0, 0D) + 1 / nullif(m0, 0D)) AS error",
+    )
+    # Levels of a few fields: the error function is not among Spark's.
+    rows = [
+        (literal(row.field), literal(row.term), number(row.coefficient), number(row.error), number(_two_sided(row.coefficient, row.error)))
+        for row in known.collect()
+    ]
+    if not rows:
+        return _with_bounds(known.selectExpr("*", "CAST(NULL AS DOUBLE) AS p_value"), "field", "term")
+    table = few_rows(split_accounts.sparkSession, ("field", "term", "coefficient", "error", "p_value"), rows)
+    return _with_bounds(table, "field", "term")
+
+
 def fit_stats(model: DriverModel, scored: DataFrame) -> DataFrame:
     """Discrimination on both splits, pseudo R2 and split sizes as one row."""
     areas = ranking.auc(scored, "churn_probability", "is_churned", by="split")

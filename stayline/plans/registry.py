@@ -199,6 +199,12 @@ def _contract_fit_stats(book: DataFrame) -> DataFrame:
     return model.fit_stats(fitted, fitted.score(split))
 
 
+def _field_models(book: DataFrame) -> DataFrame:
+    """Models of each field alone: more terms than the reports show."""
+    columns = ("customer_id", "is_churned", *model.TEXT_FIELDS.values(), *model.YES_NO_FIELDS.values())
+    return model.field_odds_ratios(model.split_accounts(scratch.table(book.select(*columns), "fields")))
+
+
 def _fitted(book: DataFrame) -> tuple[model.DriverModel, DataFrame]:
     split = model.split_accounts(book)
     return model.fit(split), split
@@ -335,6 +341,9 @@ QUERIES: dict[str, Query] = {
     "contract_fit_stats": _on_accounts(_contract_fit_stats),
     "contract_significant_drivers": _on_accounts(lambda book: model.significant_drivers(_contract_coefficients(book))),
     "contract_top_terms": _on_accounts(lambda book: model.top_terms(_contract_coefficients(book))),
+    "field_odds_ratios": _on_accounts(_field_models),
+    "field_strongest_drivers": _on_accounts(lambda book: model.significant_drivers(_field_models(book), level=2)),
+    "field_top_terms": _on_accounts(lambda book: model.top_terms(_field_models(book))),
     "driver_odds_ratios": _on_staged(_coefficients),
     "likelihood_equations": _on_staged(_likelihood_equations),
     "model_fit_stats": _on_staged(_fit_stats),

@@ -115,3 +115,32 @@ def test_report_writes_everything(spark):
     assert document["economics"]["recommended_option"]["net_value"] == max(
         option["net_value"] for option in document["economics"]["programme_options"]
     )
+
+
+def test_field_models_of_hand_made_cells(spark):
+    """Log odds from counts; a level that everybody left has no estimate, a field of one level no term."""
+    changes = [{"Contract": c, "Churn": "Yes" if left else "No", "PaymentMethod": p} for c, p, left, n in [
+        ("Month-to-month", "Mailed check", 1, 6), ("Month-to-month", "Electronic check", 0, 2),
+        ("One year", "Mailed check", 1, 3), ("One year", "Electronic check", 0, 9), ("Two year", "Mailed check", 1, 4),
+    ] for _ in range(n)]
+    split = book(spark, *changes).selectExpr("*", "'train' AS split")
+    found = {row["term"]: row for row in rows(model.field_odds_ratios(split))}
+    assert set(found) == {"Contract_One_year", "Contract_Two_year", "PaymentMethod_Mailed_check"}
+    one = found["Contract_One_year"]
+    assert one["field"] == "Contract" and one["odds_ratio"] == pytest.approx((3 / 9) / (6 / 2))
+    error = math.sqrt(1 / 3 + 1 / 9 + 1 / 6 + 1 / 2)
+    assert one["or_hi"] == pytest.approx(one["odds_ratio"] * math.exp(1.959963984540054 * error))
+    assert one["p_value"] == pytest.approx(math.erfc(abs(math.log(1 / 9)) / error / math.sqrt(2)))
+    for term in ("Contract_Two_year", "PaymentMethod_Mailed_check"):
+        assert [found[term][name] for name in ("coefficient", "odds_ratio", "or_lo", "or_hi", "p_value")] == [None] * 5
+    assert rows(model.field_odds_ratios(split.where("false"))) == []
+
+
+def test_field_models_equal_fitted_ones(spark, fitted):
+    """The closed form is where the fit of one field ends."""
+    closed = {row["term"]: row for row in rows(model.field_odds_ratios(fitted[1]))}
+    one = rows(model.fit(fitted[1], ["PaymentMethod"]).coefficients(spark))
+    assert len(one) == 3
+    for row in one:
+        for name in ("coefficient", "or_lo", "or_hi", "p_value"):
+            assert closed[row["term"]][name] == pytest.approx(row[name], rel=1e-5)
