@@ -12,7 +12,8 @@ import numpy as np
 
 from .byte_bpe import PARTS
 
-MEMO = 1_500_000
+#: Parts that a worker remembers, and that go to the library at once.
+MEMO, LEARNT = 1_500_000, 1000
 #: Cuts that no token of the vocabulary crosses: the byte-level kind keeps a space with what follows it; the kind that
 #: drops white space can be cut at any of it.
 CUTS = {"byte_level": PARTS, "words": re.compile("[^ \n]+")}
@@ -25,21 +26,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cuts = CUTS[cuts]
         self.memo: dict[str, bytes] = {}
+        # Names of tokens that the library looks for before anything else: a text with one of them is encoded whole.
+        self.named = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
-        parts = [self.cuts.findall(text) if text else [] for text in texts]
+        whole = [any(name in text for name in self.named) if text else False for text in texts]
+        parts = [self.cuts.findall(text) if text and not named else [] for text, named in zip(texts, whole)]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        unknown = list(set().union(*parts).difference(self.memo)) if parts else []
-        for start in range(0, len(unknown), 10_000):
-            some = unknown[start : start + 10_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[part] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, row)) for row in parts]
+        self._learn(list(set().union(*parts).difference(self.memo)) if parts else [])
+        return [
+            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if named
+            else b"".join(map(self.memo.__getitem__, row))
+            for text, named, row in zip(texts, whole, parts)
+        ]
+
+    def _learn(self, unknown: list[str]) -> None:
+        """Parts go to the library as the words of one input, and come back with the word of each id."""
+        for start in range(0, len(unknown), LEARNT):
+            some = unknown[start : start + LEARNT]
+            found = self.tokenizer.encode_batch([some], is_pretokenized=True, add_special_tokens=False)[0]
+            bounds = np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
+            data = np.array(found.ids, dtype="<u4").tobytes()
+            self.memo.update((part, data[4 * a : 4 * b]) for part, a, b in zip(some, bounds, bounds[1:]))
 
 
 def loaded(path: str, cuts: str) -> Encoder:

@@ -287,7 +287,6 @@ def test_gradients_against_differences():
 
 def test_packing(spark, edge, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = result(spark, "op8_best_fit_packing", edge)
     documents, sequences = {}, {}
     for row in rows:
@@ -350,7 +349,6 @@ def test_rests_of_blocks_meet(spark, monkeypatch):
 
 def test_elias_fano_archive(spark, edge, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     found = by_id(result(spark, "op10_elias_fano", edge))
     assert set(found) == set(texts)
     start = 0
