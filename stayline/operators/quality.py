@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.columns import flag, grouped, mean, trimmed
-from ..sources.extract import strip_names
+from ..sources.extract import MALFORMED, strip_names
 from .staging import READABLE_BILL, READABLE_SENIOR, READABLE_TENURE, READABLE_TOTAL
 
 
@@ -22,8 +22,9 @@ def quality_log(raw: DataFrame) -> DataFrame:
     """One row of counts. A total that cannot be read counts as blank; garbage also on its own."""
     unread = f"{READABLE_TOTAL} IS NULL"
     has_text = f"coalesce({trimmed('TotalCharges')}, '') <> ''"
+    raw = strip_names(raw)
     return grouped(
-        strip_names(raw),
+        raw,
         {},
         {
             "rows_in": "count(1)",
@@ -40,6 +41,8 @@ def quality_log(raw: DataFrame) -> DataFrame:
             "unreadable_tenure": f"count_if({READABLE_TENURE} IS NULL)",
             "unreadable_senior_flag": f"count_if({READABLE_SENIOR} IS NULL)",
             "unreadable_monthly_charges": f"count_if({READABLE_BILL} IS NULL)",
+            # Only files have rows that don't fit their header.
+            "malformed_rows": f"count_if({MALFORMED})" if MALFORMED in raw.columns else "0L",
         },
     )
 

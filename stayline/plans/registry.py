@@ -119,7 +119,22 @@ def _on_programme(operator: Callable[[DataFrame, Column], DataFrame]) -> Query:
 def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch.path(spark, "extract")
     extract.write_csv(raw(spark, sf_dir), where)
-    return extract.read_csv(spark, where).withColumns({name: F.expr(lenient_whole(name)) for name in ("SeniorCitizen", "tenure")})
+    return extract.read_csv(spark, where).select(*extract.FIELDS).withColumns({name: F.expr(lenient_whole(name)) for name in ("SeniorCitizen", "tenure")})
+
+
+def quality_log_of_damaged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality log of the accounts as a CSV file in which some lines end after five fields and some have one too many."""
+    book = raw(spark, sf_dir)
+    fields = ", ".join(f"CAST({name} AS STRING)" for name in extract.FIELDS)
+    line = f"concat_ws(',', {fields})"
+    lines = book.selectExpr(
+        f"""CASE CAST(customerID AS BIGINT) % 50 WHEN 3 THEN substring_index({line}, ',', 5) WHEN 7 THEN {line} || ',more'
+            ELSE {line} END AS value"""
+    )
+    where = scratch.path(spark, "damaged")
+    # Read without quotes, so that the lines are written as they are, below a header in each file.
+    lines.withColumnRenamed("value", ",".join(extract.FIELDS)).write.options(header=True, quote="", sep="\u0001").csv(where)
+    return quality.quality_log(extract.read_csv(spark, where))
 
 
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "kpi_views": kpi_views,
     # Quality
     "quality_log": lambda spark, sf_dir: quality.quality_log(raw(spark, sf_dir)),
+    "quality_log_of_damaged_file": quality_log_of_damaged_file,
     "quality_checks": _on_accounts(quality.quality_checks),
     # What churn costs
     "portfolio_position": _on_accounts(metrics.portfolio_position),

@@ -31,6 +31,10 @@ FIELDS = (
     "Churn",
 )
 
+#: Flag of rows that don't fit the header: too few or too many fields, a quote that isn't closed.
+MALFORMED = "malformed"
+_BROKEN = "_broken_row"
+
 # Charges stay text in a derived book, too: a blank total is meaningful and decimals must not pass through double.
 _WHOLE_NUMBERS = {"SeniorCitizen", "tenure"}
 
@@ -42,9 +46,10 @@ def strip_names(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read the extract from CSV files with a header, all fields as text.
+    """Read the extract from CSV files with a header, all fields as text, and a flag of malformed rows.
 
-    Columns may come in any order, the same one in every file: a file whose header differs from the first one's fails.
+    Columns may come in any order, the same one in every file: a file whose header differs from the first one's fails. A
+    malformed row keeps the fields it has, lacks the others, and loses those past the last.
     """
     try:
         header = spark.read.option("header", True).csv(path).columns
@@ -54,9 +59,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
                 f"{path} not found: place the account extract there as CSV with a header row"
             ) from error
         raise
-    schema = StructType([StructField(label, StringType()) for label in header])
-    whole = spark.read.schema(schema).options(header=True, enforceSchema=False).csv(path)
-    return strip_names(whole).select(*FIELDS)
+    schema = StructType([StructField(label, StringType()) for label in [*header, _BROKEN]])
+    # A pruned reader counts no fields.
+    reader = spark.read.schema(schema).options(header=True, enforceSchema=False, columnPruning=False)
+    whole = strip_names(reader.option("columnNameOfCorruptRecord", _BROKEN).csv(path))
+    return whole.select(*FIELDS, whole[_BROKEN].isNotNull().alias(MALFORMED))
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -79,6 +79,7 @@ def test_quality_log(spark):
         "unreadable_tenure": 0,
         "unreadable_senior_flag": 0,
         "unreadable_monthly_charges": 0,
+        "malformed_rows": 0,
     }
 
 
@@ -107,7 +108,7 @@ def test_csv_columns_in_any_order_with_padded_names(spark, tmp_path):
     values = [str(PLAIN[name]) if name != "TotalCharges" else " " for name in names]
     path.write_text(",".join(f" {name} " for name in names) + "\n" + ",".join(values) + "\n")
     raw = extract.read_csv(spark, str(path))
-    assert raw.dtypes == [(name, "string") for name in extract.FIELDS]
+    assert raw.dtypes == [*((name, "string") for name in extract.FIELDS), (extract.MALFORMED, "boolean")]
     (row,) = rows(accounts_of(raw))
     assert row["customer_id"] == "a" and row["total_charges"] == 0
 
@@ -154,3 +155,18 @@ def test_unreadable_whole_numbers_are_counted(spark):
     (log,) = rows(quality.quality_log(table))
     assert (log["unreadable_tenure"], log["unreadable_senior_flag"], log["unreadable_monthly_charges"]) == (2, 2, 2)
     assert [r["tenure_months"] for r in rows(staging.stage(table))] == [None, 3, 7, None]
+
+
+def test_malformed_rows_are_counted(spark, tmp_path):
+    """A short, a long and a badly quoted row, in a file whose columns come in another order."""
+    names = list(reversed(extract.FIELDS))
+    good = [str(PLAIN[name]) for name in names]
+    lines = [names, good, good[:-3], [*good, "more"], ['"' + good[0], *good[1:]], ['"' + good[0] + '"', *good[1:]]]
+    (tmp_path / "book.csv").write_text("\n".join(",".join(line) for line in lines) + "\n")
+    raw = extract.read_csv(spark, str(tmp_path))
+    (log,) = rows(quality.quality_log(raw))
+    assert (log["rows_in"], log["rows_out"], log["malformed_rows"]) == (5, 5, 3)
+    # Whatever columns are read (Spark wants one beside the flag).
+    assert sorted(row[1] for row in raw.select("gender", extract.MALFORMED).collect()) == [False, False, True, True, True]
+    assert [row["Churn"] for row in rows(raw.select("Churn", extract.MALFORMED).where("NOT malformed"))] == ["No", "No"]
+    assert accounts_of(raw).count() == 5
