@@ -28,6 +28,18 @@ CURVE_COLUMNS = (
 )
 
 
+# The grid and its steps as SQL text; the view of the hazard is made of the same text.
+GRID = {"accounts": "count(1)", "events": "sum(is_churned)", "billing": money_total("monthly_charges")}
+HAZARD = "CAST(events AS DOUBLE) / at_risk AS hazard"
+OCCUPIED = "at_risk > 0 AND events < at_risk"
+HAZARD_COLUMNS = ("tenure_month", "at_risk", "events", "hazard", "survival")
+
+
+def at_risk_column(by: str | None = None) -> str:
+    return f"""sum(accounts) OVER ({_per_curve(by)}ORDER BY tenure_month DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk"""
+
+
 def tenure_grid(accounts: DataFrame, by: str | None = None) -> DataFrame:
     """Accounts, leavers and billing per tenure month, optionally per segment; unreadable tenures are left out."""
     segment = {"segment": f"CAST({quoted(by)} AS STRING)"} if by else {}
@@ -37,7 +49,7 @@ def tenure_grid(accounts: DataFrame, by: str | None = None) -> DataFrame:
     return grouped(
         known,
         {**segment, "tenure_month": "tenure_months"},
-        {"accounts": "count(1)", "events": "sum(is_churned)", "billing": money_total("monthly_charges")},
+        GRID,
     )
 
 
@@ -51,17 +63,13 @@ def _per_curve(by: str | None) -> str:
 
 def with_at_risk(grid: DataFrame, by: str | None = None) -> DataFrame:
     """Everyone whose tenure reached the month: a running count from the longest tenure down."""
-    return grid.selectExpr(
-        "*",
-        f"""sum(accounts) OVER ({_per_curve(by)}ORDER BY tenure_month DESC
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk""",
-    )
+    return grid.selectExpr("*", at_risk_column(by))
 
 
 def with_survival(at_risk: DataFrame, by: str | None = None) -> DataFrame:
     """Hazard of each month and the running product of the shares that stayed."""
     so_far = W.partitionBy(*_keys(by)).orderBy("tenure_month").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hazard = at_risk.selectExpr("*", "CAST(events AS DOUBLE) / at_risk AS hazard")
+    hazard = at_risk.selectExpr("*", HAZARD)
     return hazard.withColumn("survival", F.product(F.expr("1 - hazard")).over(so_far))
 
 
@@ -94,10 +102,8 @@ def kaplan_meier(accounts: DataFrame, by: str | None = None) -> DataFrame:
 
 def tenure_hazard(accounts: DataFrame) -> DataFrame:
     """Discrete-time hazard by month; months that everyone at risk leaves are left out."""
-    kept = with_at_risk(tenure_grid(accounts)).filter("at_risk > 0 AND events < at_risk")
-    return (
-        with_survival(kept).select("tenure_month", "at_risk", "events", "hazard", "survival").orderBy("tenure_month")
-    )
+    kept = with_at_risk(tenure_grid(accounts)).filter(OCCUPIED)
+    return with_survival(kept).select(*HAZARD_COLUMNS).orderBy("tenure_month")
 
 
 def _per_segment(curve: DataFrame, by: str | None, measures: dict[str, str]) -> DataFrame:

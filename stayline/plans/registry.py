@@ -7,6 +7,7 @@ Doubles are rounded to six places, so that two engines can be compared value by
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -158,19 +159,32 @@ def sink_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kpi_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.create_staging(raw(spark, sf_dir), scratch.path(spark, "processed"))
     views.create_views(spark)
+    return _all_kpis(spark)
+
+
+def kpi_views_permanent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KPI views of the catalog over a catalog table, as another session reads them."""
+    suffix = "_" + uuid4().hex
+    source = f"stg_customers{suffix}"
+    views.save_staging(raw(spark, sf_dir), source, scratch.path(spark, "saved"))
+    views.create_permanent_views(spark, source, suffix)
+    return _all_kpis(spark.newSession(), suffix)
+
+
+def _all_kpis(spark: SparkSession, suffix: str = "") -> DataFrame:
     return spark.sql(
-        """
+        f"""
         SELECT 'portfolio' AS kpi, 'book' AS member, mrr_lost AS lost, churn_rate_accounts AS rate
-        FROM vw_portfolio_position
+        FROM vw_portfolio_position{suffix}
         UNION ALL
         SELECT 'segment', concat(contract_type, ' / ', internet_service), mrr_lost, churn_rate
-        FROM vw_segment_performance
+        FROM vw_segment_performance{suffix}
         UNION ALL
-        SELECT 'concentration', segment, mrr_lost, share_of_total_loss FROM vw_loss_concentration
+        SELECT 'concentration', segment, mrr_lost, share_of_total_loss FROM vw_loss_concentration{suffix}
         UNION ALL
-        SELECT 'attachment', cast(addon_count AS string), NULL, churn_rate FROM vw_attachment_effect
+        SELECT 'attachment', cast(addon_count AS string), NULL, churn_rate FROM vw_attachment_effect{suffix}
         UNION ALL
-        SELECT 'hazard', cast(tenure_month AS string), NULL, hazard FROM vw_tenure_hazard
+        SELECT 'hazard', cast(tenure_month AS string), NULL, hazard FROM vw_tenure_hazard{suffix}
         """
     )
 
@@ -278,6 +292,7 @@ QUERIES: dict[str, Query] = {
     "sink_parquet_roundtrip": sink_parquet_roundtrip,
     "sink_csv_roundtrip": sink_csv_roundtrip,
     "kpi_views": kpi_views,
+    "kpi_views_permanent": kpi_views_permanent,
     # Quality
     "quality_log": lambda spark, sf_dir: quality.quality_log(raw(spark, sf_dir)),
     "quality_log_of_damaged_file": quality_log_of_damaged_file,

@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 
 from stayline.operators import quality, staging
-from stayline.plans.views import accounts_of, create_staging, create_views, save_staging
+from stayline.plans.views import KPI_VIEWS, accounts_of, create_permanent_views, create_staging, create_views, save_staging
 from stayline.sources import extract, scratch
 from tests.frames import PLAIN, book, raw_book, rows
 
@@ -140,6 +140,32 @@ def test_another_session_sees_the_saved_table(spark):
         spark.sql("DROP TABLE saved_customers")
 
 
+def test_another_session_reads_the_permanent_views(spark, tmp_path):
+    """All five, each equal to its operator, also through NULL losses and months that everybody leaves."""
+    changes = [
+        {"tenure": t, "Churn": c, "Contract": k, "MonthlyCharges": m, "OnlineBackup": b}
+        for t, c, k, m, b in [
+            (1, "Yes", "One year", "10.00", "Yes"), (2, "No", "One year", "20.50", "No"), (2, "Yes", "Two year", "30.25", "No"),
+            (5, "No", "Month-to-month", "40.00", "Yes"), (5, "Yes", "One year", "1.00", "Yes"), (9, "Yes", "Two year", "2.00", "No"),
+            (None, "No", "One year", "7.00", "No"),
+        ]
+    ]
+    saved = save_staging(raw_book(spark, *changes), "stg_for_views", str(tmp_path / "saved"))
+    made = create_permanent_views(spark, "stg_for_views", "_seen")
+    try:
+        other = spark.newSession()
+        assert made == [f"{name}_seen" for name in KPI_VIEWS]
+        for name, define in KPI_VIEWS.items():
+            found, expected = other.table(f"{name}_seen"), define(saved)
+            assert found.dtypes == expected.dtypes
+            assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+        assert not [table for table in other.catalog.listTables() if table.isTemporary and table.name in made]
+    finally:
+        for name in made:
+            spark.sql(f"DROP VIEW {name}")
+        spark.sql("DROP TABLE stg_for_views")
+
+
 def test_files_with_different_headers_fail(spark, tmp_path):
     names = list(extract.FIELDS)
     for number, header in enumerate((names, names[::-1])):
