@@ -164,9 +164,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cuts: str = "
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                some = batch.slice(first, 500)
-                for name, row in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"].to_pylist())):
+            for first in range(0, batch.num_rows, 2000):
+                some = batch.slice(first, 2000)
+                for name, row in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"])):
                     if rows and size + len(row) // 4 + 1 > SEGMENT_IDS:
                         yield closed()
                         number, start, size = number + 1, start + size, 0

@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from stayline.llm import byte_bpe, elias_fano, exact_topk, language_id, packing, quality_rules, queries, token_counts, warc
+from stayline.llm import byte_bpe, elias_fano, exact_topk, language_id, library_tokens, packing, quality_rules, queries, token_counts, warc
 
 
 def result(spark, name, where):
@@ -390,3 +391,25 @@ def test_archive_of_small_segments(spark, tmp_path, monkeypatch):
     assert [r["doc_id"] for r in rows] == [None, *range(-50, 50)]
     ends = [r["start"] + r["n_tokens"] for r in rows]
     assert [r["start"] for r in rows] == [0, *ends[:-1]]
+
+
+@pytest.mark.parametrize("name, cuts", [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "words")])
+def test_texts_in_parts_have_the_librarys_ids(name, cuts, monkeypatch):
+    """White space of every kind in every place, named tokens, letters that are cut off or not; a memo that overflows."""
+    import random
+
+    monkeypatch.setattr(library_tokens, "MEMO", 3000)
+    monkeypatch.setattr(library_tokens, "LEARNT", 70)
+    dice = random.Random(1)
+    letters = list(" \n\t\r\x0b\x1c\x85\xa0 　aBéßà日本1!😀́İſ") + [" ", " ", "\n", "'s", "don't", "...", "ΣΑΣ", "the"]
+    named = ["<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(dice.choice(letters + (named if dice.random() < 0.02 else [])) for _ in range(dice.randrange(14))) for _ in range(9000)]
+    texts += [None, "", " ", "\n", *named, "x" * 5000, "é" * 5000]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    encoder = library_tokens.Encoder(public_tokenizers.path(name), cuts)
+    for start in range(0, len(texts), 700):
+        some = texts[start : start + 700]
+        expected = [x.ids for x in tokenizer.encode_batch([text or "" for text in some], add_special_tokens=False)]
+        for array in (pa.array(some, pa.string()), pa.array([None, *some], pa.large_string()).slice(1)):
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(array)] == expected
+    assert encoder.encode(pa.array([], pa.string())) == []
