@@ -143,13 +143,15 @@ def _system(months: Months):
     return run
 
 
-def logrank_test(accounts: DataFrame, by: str = "contract_type", groups: bool = False) -> DataFrame:
+def logrank_test(
+    accounts: DataFrame, by: str = "contract_type", groups: bool = False, grid: DataFrame | None = None
+) -> DataFrame:
     """Chi-square statistic, degrees of freedom and p-value as one row, for any number of segments.
 
     The covariance is a diagonal by segment less one product for each event month, so the system to solve has a row for
-    each event month. With ``groups``, the segments' names too: for a few of them.
+    each event month. With ``groups``, the segments' names too: for a few of them. A written grid saves counting.
     """
-    grid = _grid(accounts, by)
+    grid = _grid(accounts, by) if grid is None else grid
     months = event_months(grid)
     cells = grouped(grid, {"segment": "segment"}, {"cells": "collect_list(struct(CAST(tenure_month AS BIGINT) AS tenure_month, accounts, events))"})
     parts = cells.select("cells").coalesce(TASKS).mapInArrow(

@@ -36,18 +36,27 @@ class Order:
     value: str | None = None
     stratum: str | None = None
 
-    def keys(self) -> list[str]:
-        value = f"{self.value} + 0D" if self.value else "0D"  # -0.0 equals 0.0
-        infinite = "CAST('Infinity' AS DOUBLE)"
-        kind = f"""CASE WHEN {value} IS NULL THEN 4 WHEN isnan({value}) THEN 0
-            WHEN {value} = -{infinite} THEN 1 WHEN {value} = {infinite} THEN 3 ELSE 2 END"""
-        return [
+    def keyed(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The given columns and the order key: stratum, kind, value, text."""
+        # Named first: each of them is costly to work out twice.
+        given = df.selectExpr(
+            *columns,
+            f"{self.value or '0D'} + 0D AS _given",  # -0.0 equals 0.0
+            f"CAST({self.text} AS STRING) AS _name",
             f"CAST({self.stratum or '0'} AS STRING) AS _stratum",
-            f"{kind} AS _kind",
-            f"CASE WHEN {kind} = 2 THEN {value} ELSE 0D END AS _value",
+        )
+        infinite = "CAST('Infinity' AS DOUBLE)"
+        kind = f"""CASE WHEN _given IS NULL THEN 4 WHEN isnan(_given) THEN 0
+            WHEN _given = -{infinite} THEN 1 WHEN _given = {infinite} THEN 3 ELSE 2 END"""
+        kinds = given.selectExpr("*", f"{kind} AS _kind")
+        return kinds.selectExpr(
+            *columns,
+            "_stratum",
+            "_kind",
+            "CASE WHEN _kind = 2 THEN _given ELSE 0D END AS _value",
             # Hex digits keep the order of bytes; a null text comes before the empty one.
-            f"coalesce('1' || hex(CAST({self.text} AS STRING)), '0') AS _text",
-        ]
+            "coalesce('1' || hex(_name), '0') AS _text",
+        )
 
 
 @dataclass(frozen=True)
@@ -135,7 +144,7 @@ def _at(rows: list[Row], ranks: list[int]) -> Iterator[tuple[Row, int]]:
 
 def cuts(df: DataFrame, order: Order, ranks: Callable[[int], list[int]]) -> list[Cut]:
     """The rows at the ascending ranks that ``ranks`` gives for a stratum's size, for strata that are few."""
-    keys = df.selectExpr(*order.keys()).filter("_stratum IS NOT NULL")
+    keys = order.keyed(df).filter("_stratum IS NOT NULL")
     found: list[Cut] = []
     # Of each interval the ranks wanted, in the stratum and in the interval.
     open_: dict[_Interval, list[tuple[int, int]]] = {}
@@ -193,8 +202,8 @@ def with_cuts_before(df: DataFrame, order: Order, found: list[Cut], name: str) -
     Rows are compared with the cuts' keys and not moved. Only where a cut runs through rows of equal keys are those rows
     written and numbered.
     """
-    keyed = df.selectExpr("*", *order.keys())
     columns = [quoted(column) for column in df.columns]
+    keyed = order.keyed(df, *columns)
 
     def count(conditions: list[str]) -> str:
         return f"CAST({' + '.join([f'CASE WHEN {x} THEN 1 ELSE 0 END' for x in conditions] or ['0'])} AS INT) AS {quoted(name)}"

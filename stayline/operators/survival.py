@@ -40,11 +40,12 @@ def at_risk_column(by: str | None = None) -> str:
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk"""
 
 
-def tenure_grid(accounts: DataFrame, by: str | None = None) -> DataFrame:
-    """Accounts, leavers and billing per tenure month, optionally per segment; unreadable tenures are left out."""
+def tenure_grid(accounts: DataFrame, by: str | None = None, unnamed: bool = False) -> DataFrame:
+    """Accounts, leavers and billing per tenure month, optionally per segment; unreadable tenures are left out, and accounts
+    without a segment unless ``unnamed``."""
     segment = {"segment": f"CAST({quoted(by)} AS STRING)"} if by else {}
     known = accounts.filter("tenure_months IS NOT NULL")
-    if by:
+    if by and not unnamed:
         known = known.filter(f"{quoted(by)} IS NOT NULL")
     return grouped(
         known,
@@ -91,13 +92,20 @@ def curve(at_risk: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def curves(accounts: DataFrame, by: str | None = None) -> DataFrame:
-    return curve(with_at_risk(tenure_grid(accounts, by), by), by)
+def whole_grid(grid: DataFrame) -> DataFrame:
+    """The grid of all accounts from a grid by segment."""
+    return grouped(grid, {"tenure_month": "tenure_month"}, {name: f"sum({name})" for name in GRID})
 
 
-def kaplan_meier(accounts: DataFrame, by: str | None = None) -> DataFrame:
+def curves(accounts: DataFrame, by: str | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """Curves of accounts, or of a grid that is there already."""
+    grid = tenure_grid(accounts, by) if grid is None else grid
+    return curve(with_at_risk(grid, by), by)
+
+
+def kaplan_meier(accounts: DataFrame, by: str | None = None, grid: DataFrame | None = None) -> DataFrame:
     """Product-limit curve with Greenwood standard errors and 95 % band."""
-    return curves(accounts, by).select(*_keys(by), *CURVE_COLUMNS).orderBy(*_keys(by), "tenure_month")
+    return curves(accounts, by, grid).select(*_keys(by), *CURVE_COLUMNS).orderBy(*_keys(by), "tenure_month")
 
 
 def tenure_hazard(accounts: DataFrame) -> DataFrame:
@@ -135,16 +143,16 @@ def restricted_mean(accounts: DataFrame, by: str | None = None, horizon: int = D
     )
 
 
-def median_survival(accounts: DataFrame, by: str | None = None) -> DataFrame:
-    return _per_segment(curves(accounts, by), by, {"median_tenure_months": _MEDIAN})
+def median_survival(accounts: DataFrame, by: str | None = None, grid: DataFrame | None = None) -> DataFrame:
+    return _per_segment(curves(accounts, by, grid), by, {"median_tenure_months": _MEDIAN})
 
 
 def survival_summary(
-    accounts: DataFrame, by: str = "contract_type", horizon: int = DEFAULTS.horizon_months
+    accounts: DataFrame, by: str = "contract_type", horizon: int = DEFAULTS.horizon_months, grid: DataFrame | None = None
 ) -> DataFrame:
     """Per segment: size, churn rate, median, restricted mean and mean bill, all from one grid."""
     return grouped(
-        _with_area(curves(accounts, by), by, horizon),
+        _with_area(curves(accounts, by, grid), by, horizon),
         {"segment": "segment"},
         {
             "customers": "sum(accounts)",

@@ -7,11 +7,12 @@ Doubles are rounded to six places, so that two engines can be compared value by
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import lenient_whole, quoted
+from ..functions.columns import lenient_whole, literal, quoted
 from ..operators import (
     dashboard,
     economics,
@@ -276,6 +277,51 @@ def _metrics_document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.selectExpr(*shown, "targeting.top_decile_lift AS lift_vs_base")
 
 
+#: Lists and maps of the document that rest on no fitted model.
+DOCUMENT_LISTS = {
+    "by_contract": "survival.by_contract",
+    "clv_by_contract": "map_entries(survival.clv_by_contract)",
+    "decile_table": "targeting.decile_table",
+    "programme_options": "economics.programme_options",
+}
+#: Records and single values, all of their fields.
+DOCUMENT_RECORDS = {
+    "data_quality": "data_quality.*",
+    "portfolio": "portfolio.*",
+    "survival": "survival.median_tenure_overall",
+    "logrank": "survival.logrank.*",
+    "targeting": "targeting.top_decile_lift",
+    "economics": "economics.*",
+    "programme": "economics.programme.*",
+    "recommended_option": "economics.recommended_option.*",
+    "assumptions": "economics.assumptions.*",
+}
+
+
+def _cells(rows: DataFrame, part: str) -> DataFrame:
+    """One row for each field of each record: numbers as doubles, anything else as text."""
+    plain = [name for name, kind in rows.dtypes if name != "place" and not kind.startswith(("struct", "map", "array<struct"))]
+    as_text = [
+        f"{f'array_join({quoted(name)}, {literal(chr(124))})' if rows.schema[name].dataType.typeName() == 'array' else f'CAST({quoted(name)} AS STRING)'} AS {quoted(name)}"
+        for name in plain
+    ]
+    cells = rows.selectExpr("place", *as_text).unpivot(["place"], plain, "field", "value")
+    number = "try_cast(value AS DOUBLE)"
+    return cells.selectExpr(
+        f"{literal(part)} AS part", "place", "field", f"{number} AS number", f"CASE WHEN {number} IS NULL THEN value END AS text"
+    )
+
+
+def _metrics_document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the metrics document of scorecard scores, with its part, place in a list and field."""
+    document = scratch.table(Analysis(raw(spark, sf_dir), scorer=with_scorecard).metrics_document(), "document")
+    parts = [_cells(document.selectExpr("0 AS place", path), part) for part, path in DOCUMENT_RECORDS.items()]
+    for part, path in DOCUMENT_LISTS.items():
+        listed = document.selectExpr(f"posexplode({path}) AS (place, record)").selectExpr("place", "record.*")
+        parts.append(_cells(listed, part))
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: Fields of the document's records that the queries of the same contents don't have.
 DOCUMENT_OWN = ("customers", "monthly_recurring_revenue", "groups")
 
@@ -381,6 +427,7 @@ QUERIES: dict[str, Query] = {
     "significant_drivers": _on_staged(lambda book: model.significant_drivers(_coefficients(book))),
     "top_terms": _on_staged(lambda book: model.top_terms(_coefficients(book))),
     "metrics_document": _metrics_document,
+    "metrics_document_cells": _metrics_document_cells,
     "metrics_document_parts": _metrics_document_parts,
 }
 

@@ -33,9 +33,12 @@ class Analysis:
         self.assumptions = assumptions
         self.accounts = create_staging(self.raw, staging_path or scratch.path(spark, "customers"))
 
-        self.hazard = survival.kaplan_meier(self.accounts)
+        # All curves come from one grid by contract and month.
+        self.grid = scratch.table(survival.tenure_grid(self.accounts, "contract_type", unnamed=True), "grid")
+        self.contract_grid = self.grid.filter("segment IS NOT NULL")
+        self.hazard = survival.kaplan_meier(self.accounts, grid=survival.whole_grid(self.grid))
         self.survival_by_contract = scratch.table(
-            survival.survival_summary(self.accounts, "contract_type", assumptions.horizon_months), "summary"
+            survival.survival_summary(self.accounts, "contract_type", assumptions.horizon_months, self.contract_grid), "summary"
         )
         months = survival.months_gained(self.survival_by_contract).first().months_gained
         self.months_gained = F.lit(months).cast("double")
@@ -48,7 +51,8 @@ class Analysis:
             self.model = model.fit(split)
             self.coefficients = self.model.coefficients(spark)
             scores = self.model.score(split)
-        self.scored = targeting.with_deciles(scores)
+        # Written once: scores are read for the cuts, the deciles, the areas and the extracts.
+        self.scored = targeting.with_deciles(scratch.table(scores, "scored"))
         self.deciles = scratch.table(targeting.decile_table(self.scored), "deciles")
 
         self.segments = metrics.segment_revenue_lost(self.accounts)
@@ -75,7 +79,7 @@ class Analysis:
             "fct_customer_risk": dashboard.customer_risk(self.scored),
             "dim_tenure_hazard": self.hazard,
             "agg_risk_deciles": self.deciles,
-            "dim_contract_curves": survival.kaplan_meier(self.accounts, "contract_type"),
+            "dim_contract_curves": survival.kaplan_meier(self.accounts, "contract_type", self.contract_grid),
         }
 
     def metrics_document(self) -> DataFrame:
@@ -90,9 +94,9 @@ class Analysis:
             "data_quality": _record(quality.quality_log(self.raw)),
             "book": _record(book),
             "risk": _record(risk),
-            "median_tenure_overall": survival.median_survival(self.accounts).scalar(),
+            "median_tenure_overall": survival.median_survival(self.accounts, grid=survival.whole_grid(self.grid)).scalar(),
             "by_contract": _records(self.survival_by_contract, "churn_rate", descending=True),
-            "logrank": _record(logrank.logrank_test(self.accounts, groups=True)),
+            "logrank": _record(logrank.logrank_test(self.accounts, groups=True, grid=self.contract_grid)),
             "clv_by_contract": F.map_from_entries(_records(value, "segment")),
             **self._model_parts(),
             "decile_table": _records(self.deciles, "decile"),
