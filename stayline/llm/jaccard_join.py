@@ -11,10 +11,10 @@ within the first n - ceil(t n) + l of each. Longer prefixes thus require more sh
    the l of least estimated cost: the lists it has to be met in, plus the verification of the candidates, which are at
    most the list entries divided by l.
 3. Stars. In rounds, each list's hub (a member with few shingles of its own, drawn anew) is the candidate of its
-   members; a member verifies its most frequent hub. Verified links contract to components, and lists within one
+   members; a member verifies its most frequent hub if the two share l prefix shingles (l of the less demanding set). Verified links contract to components, and lists within one
    component are done. Most groups of copies collapse here without meeting in pairs.
 4. Rest. In lists that still span components, members of short lists meet in pairs, and those that share l prefix shingles
-   (l of the less demanding set) are verified. Long lists form clusters, whose sets meet once, block by block, inside
+   are verified. Long lists form clusters, whose sets meet once, block by block, inside
    tasks; only links that join components are sent on. So no link between different components is lost, whatever the
    rounds found.
 
@@ -132,28 +132,56 @@ def _sent() -> pa.Schema:
     return pa.schema({"bucket": pa.int64(), "tokens": pa.binary(), "names": pa.binary(), "shared": pa.binary()})
 
 
-def _received(table: pa.Table) -> pa.Table:
-    """Of a bucket: how many of each set's shingles occur in another set."""
-    rows = table.to_pylist()
-    token = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows if r["shared"] is None] or [np.empty(0, np.uint64)])
-    name = np.concatenate([np.frombuffer(r["names"], np.int64) for r in rows if r["shared"] is None] or [np.empty(0, np.int64)])
-    names = [np.frombuffer(r["names"], np.int64) for r in rows if r["shared"] is not None]
-    counts = [np.frombuffer(r["shared"], np.int64) for r in rows if r["shared"] is not None]
-    if len(token):
-        order = np.argsort(token, kind="stable")
-        token, name = token[order], name[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        times = np.diff(np.concatenate([first, [len(token)]]))
-        differ = (np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first)) | (name[first] == 0)
-        found, count = np.unique(name[np.repeat(differ, times) & (name != 0)], return_counts=True)
-        names.append(found)
-        counts.append(count)
-    return pa.table(
-        {
-            "name": np.concatenate([np.empty(0, np.int64), *names]),
-            "shared": np.concatenate([np.empty(0, np.int64), *counts]),
-        }
-    )
+PACKED = "shard long, names binary, counts binary"
+
+
+def _received(shards: int):
+    """Of a bucket: how many of each set's shingles occur in another set, as one packed row for each shard of names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shared = table["shared"].is_valid().to_pylist()
+        token, name, names, counts = ([np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], [])
+        for at, counted in enumerate(shared):
+            own = np.frombuffer(table["names"][at].as_py(), np.int64)
+            if counted:
+                names.append(own)
+                counts.append(np.frombuffer(table["shared"][at].as_py(), np.int64))
+            else:
+                name.append(own)
+                token.append(np.frombuffer(table["tokens"][at].as_py(), np.uint64))
+        token, name = np.concatenate(token), np.concatenate(name)
+        if len(token):
+            order = np.argsort(token, kind="stable")
+            token, name = token[order], name[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            times = np.diff(np.concatenate([first, [len(token)]]))
+            differ = (np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first)) | (name[first] == 0)
+            found, count = np.unique(name[np.repeat(differ, times) & (name != 0)], return_counts=True)
+            names.append(found)
+            counts.append(count)
+        names, counts = np.concatenate(names), np.concatenate(counts).astype(np.int64)
+        shard = (mixed(names.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        names, counts, shard = names[order], counts[order], shard[order]
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
+        rows = [(int(shard[x]), names[x:y].tobytes(), counts[x:y].tobytes()) for x, y in zip(starts, [*starts[1:], len(shard)])]
+        return pa.table(
+            {
+                "shard": pa.array([x for x, _, _ in rows], pa.int64()),
+                "names": pa.array([x for _, x, _ in rows], pa.binary()),
+                "counts": pa.array([x for _, _, x in rows], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of a shard of names: each set's count over all buckets."""
+    names = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["names"]])
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]])
+    name, place = np.unique(names, return_inverse=True)
+    return pa.table({"name": name, "shared": np.bincount(place, counts).astype(np.int64)})
 
 
 def sieved(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,9 +192,9 @@ def sieved(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         docs.select("text")
         .mapInArrow(_sender(buckets), "bucket long, tokens binary, names binary, shared binary")
         .groupBy("bucket")
-        .applyInArrow(_received, "name long, shared long")
-        .groupBy("name")
-        .agg(F.sum("shared").alias("shared"))
+        .applyInArrow(_received(buckets), PACKED)
+        .groupBy("shard")
+        .applyInArrow(_summed, "name long, shared long")
     )
     # l of the smallest set that it can be linked with.
     least = F.expr(f"1 + ceil({SIMILAR} * n / 100) div 10")
@@ -203,31 +231,32 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix of each set in order of frequency, lengthened to the least estimated cost. Shingles that no other set has
     come first and are known by number only."""
     for batch in batches:
-        for row in batch.to_pylist():
-            n = row["n"]
-            found = sorted((x["times"], x["token"]) for x in row["shared"])
-            alone = n - len(found)
+        lists = batch["shared"]
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        times, tokens = (lists.flatten().field(name).to_numpy() for name in ("times", "token"))
+        chosen, rows = [], []
+        for at, (name, n) in enumerate(zip(batch["name"].to_pylist(), batch["n"].to_pylist())):
+            own = slice(bounds[at], bounds[at + 1])
+            alone = n - (own.stop - own.start)
             open_places = free(n) + 1 - alone
             if open_places <= 0:
                 continue
-            entries = np.cumsum([times - 1 for times, _ in found])
+            order = np.lexsort((tokens[own], times[own]))[: open_places + LONGEST - 1]
+            entries = np.cumsum(times[own][order] - 1)
             best, least = 1, np.inf
-            for l in range(1, min(LONGEST, len(found) - open_places + 1) + 1):
+            for l in range(1, min(LONGEST, len(order) - open_places + 1) + 1):
                 met = float(entries[open_places + l - 2])
                 cost = met + VERIFY * n * met / l / 100
                 if cost < least:
                     best, least = l, cost
-            chosen = found[: open_places + best - 1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([token for _, token in chosen], pa.int64()),
-                    pa.array([row["name"]] * len(chosen), pa.int64()),
-                    pa.array([n] * len(chosen), pa.int64()),
-                    pa.array(range(alone, alone + len(chosen)), pa.int64()),
-                    pa.array([best] * len(chosen), pa.int64()),
-                ],
-                ["token", "name", "n", "place", "l"],
-            )
+            order = order[: open_places + best - 1]
+            chosen.append(tokens[own][order])
+            rows.append((name, n, alone, best, len(order)))
+        if rows:
+            name, n, alone, best, sizes = (np.array(x, dtype=np.int64) for x in zip(*rows))
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(alone, sizes)
+            columns = [np.concatenate(chosen), *(np.repeat(x, sizes) for x in (name, n)), place, np.repeat(best, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "name", "n", "place", "l"])
 
 
 def prefixes(tokens: DataFrame) -> DataFrame:
@@ -297,7 +326,7 @@ def links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
         tried = candidates.count()
         if not tried:
             break
-        found = written(verified(candidates, tokens), "links")
+        found = written(verified(sharing(candidates, entries), tokens), "links")
         merges = found.count()
         if merges:
             home = _merged(home, found)
@@ -312,25 +341,36 @@ def links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     return home if found.isEmpty() else _merged(home, found)
 
 
-def _short_links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links between members of short lists: pairs that share l prefix shingles, verified."""
-    left = entries.select(*[F.col(c).alias(f"{c}1") for c in entries.columns])
-    right = entries.select(*[F.col(c).alias(f"{c}2") for c in entries.columns])
+def _matched(meetings: DataFrame) -> DataFrame:
+    """The pairs a, b of meetings in a list (token, n, place and l of both sides) that share l prefix shingles."""
     shortest = F.least("l1", "l2")
 
     def within(side: str) -> Column:
         return F.col(f"place{side}") < F.expr(f"n{side} - ceil({SIMILAR} * n{side} / 100)") + shortest
 
-    pairs = (
-        left.join(right, (F.col("token1") == F.col("token2")) & (F.col("name1") < F.col("name2")))
-        .where((F.col("home1") != F.col("home2")) & _alike("n1", "n2"))
-        .where(within("1") & within("2"))
-        .groupBy(F.col("name1").alias("a"), F.col("name2").alias("b"))
+    return (
+        meetings.where(within("1") & within("2"))
+        .groupBy("a", "b")
         .agg(F.count("*").alias("matches"), F.first(shortest).alias("l"))
         .where("matches >= l")
         .select("a", "b")
     )
-    return verified(pairs, tokens)
+
+
+def _side(entries: DataFrame, name: str, side: str, *others: str) -> DataFrame:
+    return entries.select("token", F.col("name").alias(name), *[F.col(x).alias(f"{x}{side}") for x in ("n", "place", "l", *others)])
+
+
+def sharing(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Of candidate pairs those that share l prefix shingles; no other can be similar enough."""
+    return _matched(pairs.join(_side(entries, "a", "1"), "a").join(_side(entries, "b", "2"), ["b", "token"]))
+
+
+def _short_links(entries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between members of short lists: pairs that share l prefix shingles, verified."""
+    left, right = _side(entries, "a", "1", "home"), _side(entries, "b", "2", "home")
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("home1") != F.col("home2")) & _alike("n1", "n2"))
+    return verified(_matched(met), tokens)
 
 
 def _long_links(entries: DataFrame, home: DataFrame, tokens: DataFrame) -> DataFrame:
