@@ -11,8 +11,8 @@ their windows cover, and each is compared with its neighbours by these hashes:
   around them send their windows once.
 
 Sorting ranges over all columns, so a frequent passage is spread over tasks; what a task cannot see beyond the edges of
-its range it hands to the second step. Windows are counted before they are shuffled. Documents are told apart by id and a
-hash of their text, and windows by 128 bits.
+its range it hands to the second step. Windows are counted before they are shuffled. Documents are told apart by id and
+128 bits of their text, and windows by 128 bits.
 
 Results: a window found twice or more in the table (also twice in one document) is repeated; its first place in order of
 doc_id (null first), hash and position is kept, and ``cleaned`` takes the words out that later ones cover and no kept
@@ -36,7 +36,7 @@ GRAM = 20
 SORTED_ROWS = 1_000_000
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SUFFIX = "gram long, around long, doc_id long, tie int, first int, n int"
+SUFFIX = "gram long, around long, doc_id long, tie binary, first int, n int"
 _words = [Words(seed) for seed in (0, 1)]
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -76,25 +76,21 @@ def suffixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return signed(grams[owner[first]]), signed(around), first, last - first
 
 
-def _tie() -> Column:
-    return F.hash("text").alias("tie")
+def _tie(text: str = "text") -> Column:
+    """128 bits of a text, which tell documents of one id, or of none, apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             some = batch.slice(start, 1000)
-            parts, names, ties = [], [], []
-            hashes = _words[0].of(utf8(some["text"]))
-            for name, tie, values in zip(some["doc_id"].to_pylist(), some["tie"].to_pylist(), hashes):
-                part = suffixes(values)
-                parts.append(part)
-                names.extend([name] * len(part[0]))
-                ties.extend([tie] * len(part[0]))
+            parts = [suffixes(values) for values in _words[0].of(utf8(some["text"]))]
+            own = pa.array(np.repeat(np.arange(len(parts)), [len(part[0]) for part in parts]))
             gram, around, first, n = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(gram), pa.array(around), pa.array(names, pa.int64()), pa.array(ties, pa.int32()),
+                    pa.array(gram), pa.array(around), some["doc_id"].take(own), some["tie"].take(own),
                     pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
                 ],
                 ["gram", "around", "doc_id", "tie", "first", "n"],
@@ -144,7 +140,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(one), pa.array(two), pa.array([row["doc_id"]] * len(start), pa.int64()),
-                    pa.array([row["tie"]] * len(start), pa.int32()), pa.array(start.astype(np.int32)), pa.array(many),
+                    pa.array([row["tie"]] * len(start), pa.binary()), pa.array(start.astype(np.int32)), pa.array(many),
                     pa.array(leads),
                 ],
                 ["one", "two", "doc_id", "tie", "first", "many", "leads"],
@@ -155,7 +151,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """Repeated pieces of each document: doc_id, tie, first word, n windows, kept (the first place), source (the
     doc_id of the first window's first place)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tie(), "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tie().alias("tie"), "text")
     table = written(texts.mapInArrow(_suffix_rows, SUFFIX), "suffixes")
     ranges = max(partitions(spark), pieces_of(table.count(), SORTED_ROWS))
     order = ["gram", "around", "doc_id", "tie", "first"]
@@ -164,7 +160,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions(*order)
         .mapInArrow(
             _compared,
-            "doc_id long, tie int, first int, n int, many boolean, head boolean, open boolean, source long, source_tie int, "
+            "doc_id long, tie binary, first int, n int, many boolean, head boolean, open boolean, source long, source_tie binary, "
             "source_first int",
         ),
         "compared",
@@ -181,7 +177,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     windows = written(
         single.join(opened, KEYS)
         .select(F.expr("IF(known, id, NULL)").alias("doc_id"), "tie", "text", "open")
-        .mapInArrow(_window_rows, "one long, two long, doc_id long, tie int, first int, many boolean, leads boolean"),
+        .mapInArrow(_window_rows, "one long, two long, doc_id long, tie binary, first int, many boolean, leads boolean"),
         "windows",
     )
     place = F.struct("doc_id", "tie", "first")
@@ -241,29 +237,32 @@ def merged(first: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         {
-            "doc_id": pa.int64(), "tie": pa.int32(), "span": pa.int32(), "first_word": pa.int32(), "end_word": pa.int32(),
+            "doc_id": pa.int64(), "tie": pa.binary(), "span": pa.int32(), "first_word": pa.int32(), "end_word": pa.int32(),
             "removed_words": pa.int32(), "source_id": pa.int64(), "removed": pa.list_(pa.int32()),
         }
     )
     for batch in batches:
         rows = []
-        for row in batch.to_pylist():
-            parts = row["parts"]
-            first, n = np.array([x["first"] for x in parts]), np.array([x["n"] for x in parts])
-            kept = np.array([x["kept"] for x in parts], dtype=bool)
+        parts = batch["parts"]
+        bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
+        flat = parts.flatten()
+        firsts, counts = flat.field("first").to_numpy(), flat.field("n").to_numpy()
+        keeps, sources = flat.field("kept").to_numpy(zero_copy_only=False), flat.field("source")
+        for name, tie, low, high in zip(batch["doc_id"].to_pylist(), batch["tie"].to_pylist(), bounds, bounds[1:]):
+            first, n, kept = firsts[low:high], counts[low:high], keeps[low:high]
             spans = merged(first, n)
             gone = np.zeros(spans[-1][1], dtype=bool)
             for a, b in merged(first[~kept], n[~kept]):
                 gone[a:b] = True
             for a, b in merged(first[kept], n[kept]):
                 gone[a:b] = False
-            origin = dict(sorted(((x["first"], x["source"]) for x in parts), key=lambda x: -x[0]))
+            places = {int(at): low + i for i, at in reversed(list(enumerate(first)))}
             for number, (a, b) in enumerate(spans):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))) + a
                 rows.append(
                     {
-                        "doc_id": row["doc_id"], "tie": row["tie"], "span": number, "first_word": a, "end_word": b,
-                        "removed_words": int(gone[a:b].sum()), "source_id": origin[a], "removed": edges.tolist(),
+                        "doc_id": name, "tie": tie, "span": number, "first_word": a, "end_word": b,
+                        "removed_words": int(gone[a:b].sum()), "source_id": sources[places[a]].as_py(), "removed": edges.tolist(),
                     }
                 )
         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -279,7 +278,7 @@ def spans(docs: DataFrame) -> DataFrame:
         .agg(parts)
         .mapInArrow(
             _spans,
-            "doc_id long, tie int, span int, first_word int, end_word int, removed_words int, source_id long, removed array<int>",
+            "doc_id long, tie binary, span int, first_word int, end_word int, removed_words int, source_id long, removed array<int>",
         )
     )
 
@@ -304,7 +303,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     gone = spans(docs).groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("removed")).alias("removed"))
     gone = gone.where("size(removed) > 0")
-    same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("g.doc_id")) & (F.hash("d.text") == F.col("g.tie"))
+    same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("g.doc_id")) & (_tie("d.text") == F.col("g.tie"))
     joined = (
         docs.alias("d")
         .join(gone.alias("g"), same, "left")

@@ -190,6 +190,18 @@ def test_repeated_rows_both_stay(spark):
     assert sorted(str(r["text"]) for r in suffix_dedup.cleaned(docs).collect()) == ["", "", "before after", "x " + text]
 
 
+def test_texts_of_equal_short_hashes_stay_apart(spark):
+    """Texts without an id, in pairs of one 32-bit hash, and a fifth, which all share 60 words: the first keeps them."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    tried = spark.range(300_000).selectExpr(f"concat('{shared} ', 'a', id, ' b c d') AS text").withColumn("short", F.hash("text"))
+    pairs = tried.groupBy("short").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").limit(2).collect()
+    assert len(pairs) == 2
+    texts = [text for pair in pairs for text in sorted(pair.texts)[:2]] + [shared + " e f g h"]
+    docs = spark.createDataFrame([(None, text) for text in texts], "doc_id long, text string").repartition(3)
+    found = sorted(len(words(r["text"])) for r in suffix_dedup.cleaned(docs).collect())
+    assert found == [4, 4, 4, 4, 64]
+
+
 def test_removal_keeps_the_text_around():
     assert suffix_dedup.without("a  b\nc d", [1, 3]) == "a d"
     assert suffix_dedup.without(" a b c", [0, 1]) == " b c"
