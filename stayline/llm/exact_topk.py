@@ -159,15 +159,19 @@ def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def salt(salts: int) -> Column:
+    """A number below ``salts`` for each row. Row numbers of one partition follow each other and those of another begin at
+    a multiple of a power of two, so they are hashed."""
+    return F.expr(f"cast(pmod(xxhash64(monotonically_increasing_id()), {salts}) AS int)")
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best candidates of every query: query_id, rank (from 1), id, score. Both inputs: id, vector (bigints)."""
     spark = candidates.sparkSession
     salts = partitions(spark)
     kind = "dim int, ids binary, vectors binary"
     blocks = written(
-        candidates.mapInArrow(_packed(CANDIDATES), kind).withColumn(
-            "salt", F.expr(f"cast(pmod(monotonically_increasing_id(), {salts}) AS int)")
-        ),
+        candidates.mapInArrow(_packed(CANDIDATES), kind).withColumn("salt", salt(salts)),
         "candidates",
     )
     asked = written(
@@ -181,7 +185,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         ),
         "queries",
     )
-    longest = candidates.agg(
+    longest = candidates.select("vector").union(queries.select("vector")).agg(
         F.max(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
     ).first()[0]
     bound = math.ceil(longest or 0) + 1  # no inner product is larger than the largest square
