@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import written
+
 SAMPLE = 4096
 EXCERPT = 240
 WINDOW = 256
@@ -180,30 +182,24 @@ def _gradients(net: Network, data: np.ndarray, target: np.ndarray) -> list[np.nd
     return [to_embedding, *to_filters, back.sum(axis=0), hidden.T @ error, error.sum(axis=0)]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Network:
-    """Train on a bounded sample of text and lang, even over the languages. Rows: doc_id, text, lang."""
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows draw, doc_id, lang, excerpts: about ``sample`` of them, even over the languages. Texts are cut to excerpts where
+    they are read; the languages' sizes are written, so that Spark knows whether they are few enough to be broadcast."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    spread = counts.agg(F.count("*")).first()[0]
-    if not spread:
-        return trained([], [])
-    draw = F.expr("pmod(xxhash64(doc_id, text, 7), 1000000007) / 1000000007D")
-    chosen = (
-        usable.select("doc_id", "text", "lang", draw.alias("draw"))
-        .join(counts, "lang")
-        .where(F.col("draw") * F.col("n") < sample / spread)
-        .select("doc_id", "lang", "draw", "text")
-    )
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    spread = max(1, counts.count())
     places = [
         F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, {n}), greatest(1, length(text) - {EXCERPT} + 1)) AS int), {EXCERPT})")
         for n in (1, 2)
     ]
-    rows = (
-        chosen.select("draw", "doc_id", "lang", F.array(*places).alias("excerpts"))
-        .orderBy("draw", "doc_id", "lang", "excerpts")
-        .limit(sample)
-        .collect()
-    )
+    draw = F.expr("pmod(xxhash64(doc_id, text, 7), 1000000007) / 1000000007D")
+    narrow = usable.select(draw.alias("draw"), "doc_id", "lang", F.array(*places).alias("excerpts"))
+    return narrow.join(counts, "lang").where(F.col("draw") * F.col("n") < sample / spread).drop("n")
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Network:
+    """Train on a bounded sample of text and lang, even over the languages. Rows: doc_id, text, lang."""
+    rows = sampled(labelled, sample).orderBy("draw", "doc_id", "lang", "excerpts").limit(sample).collect()
     texts = [text for row in rows for text in row["excerpts"]]
     return trained(texts, [row["lang"] for row in rows for _ in row["excerpts"]])
 
