@@ -2,8 +2,9 @@
 
 Pieces are dealt evenly into blocks of ``BLOCK``. Each block evolves on ``ISLANDS`` islands, one task each. A gene is a
 whole sequence: crossover injects the best-filled sequences of one parent into the other, dissolves sequences that hold
-an injected piece a second time, and puts displaced pieces back by best fit, longest first. Fitness is the mean square
-fill. Between epochs the best packing of each island migrates to the next island of its block (a join on block and
+an injected piece a second time, lets displaced pieces take the place of smaller ones where they fill a sequence better, and
+puts the rest back by best fit, longest first. Fewer sequences are fitter, then the larger mean square fill; no two of a
+population are equally fit. A block that best fit packs into the fewest sequences its length allows needs no generation. Between epochs the best packing of each island migrates to the next island of its block (a join on block and
 island). Pieces of sequences that stay below ``SETTLED`` of the capacity are pooled over all blocks, dealt anew and
 evolved once more, so that rests of different blocks meet. Only lengths and row numbers travel; no task holds more than
 a block and its population.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import random
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,11 @@ from .shared import pieces_of, written
 BLOCK = 8192
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
+#: Generations of an epoch at most, and those in a row that may gain nothing.
+GENERATIONS, STALE = 300, 20
 POPULATION = 6
+#: Sequences that a repair looks at, pieces they may have, and displaced pieces tried in each.
+REFILLED, FEW, TRIED = 400, 8, 200
 SETTLED = 0.995
 STATE = "block bigint, island int, keys binary, lengths binary, population binary, n_bins bigint"
 
@@ -112,6 +117,54 @@ def fitness(lengths: list[int], capacity: int, packing: Packing) -> float:
     return sum((sum(lengths[i] for i in items) / capacity) ** 2 for items in packing) / max(1, len(packing))
 
 
+def _better(lengths: list[int], items: list[int], room: int, sizes: list[int]) -> tuple[list[int], list[int]] | None:
+    """Of a sequence's pieces up to two that give way, and the places of up to two of the given lengths, in ascending order,
+    that fill it best in their stead."""
+    best, gain = None, 0
+    for out in [[i] for i in items] + [[i, j] for at, i in enumerate(items) for j in items[:at]]:
+        less = sum(lengths[i] for i in out)
+        most = less + room
+        at = bisect_right(sizes, most) - 1
+        if at >= 0 and sizes[at] - less > gain:
+            best, gain = (out, [at]), sizes[at] - less
+        low, high = 0, at
+        while low < high and gain < room:
+            both = sizes[low] + sizes[high]
+            if both > most:
+                high -= 1
+            else:
+                if both - less > gain:
+                    best, gain = (out, [low, high]), both - less
+                low += 1
+        if gain == room:
+            break
+    return best
+
+
+def refilled(lengths: list[int], capacity: int, packing: Packing, displaced: list[int]) -> Packing:
+    """Displaced pieces first take the place of smaller ones in sequences that they fill better, emptiest first; what is
+    left over then goes in by best fit, longest first."""
+    spare = sorted(displaced, key=lambda i: lengths[i])
+    sizes = [lengths[i] for i in spare]
+    rooms = sorted(((capacity - sum(lengths[i] for i in items), at) for at, items in enumerate(packing)), reverse=True)
+    for room, at in rooms[:REFILLED]:
+        items = packing[at]
+        if not room or not spare or len(items) > FEW:
+            continue
+        # A window of the spare pieces, from the longest down, is tried.
+        start = max(0, len(spare) - TRIED)
+        if found := _better(lengths, items, room, sizes[start:]):
+            out, chosen = found
+            packing[at] = [i for i in items if i not in out] + [spare[start + x] for x in chosen]
+            for x in sorted(chosen, reverse=True):
+                del spare[start + x], sizes[start + x]
+            for i in out:
+                place = bisect_right(sizes, lengths[i])
+                spare.insert(place, i)
+                sizes.insert(place, lengths[i])
+    return best_fit(lengths, capacity, spare[::-1], packing)
+
+
 def crossover(lengths: list[int], capacity: int, into: Packing, source: Packing, dice: random.Random) -> Packing:
     """Inject well-filled sequences of one packing into another and repair what they displace."""
     filled = sorted(source, key=lambda items: -sum(lengths[i] for i in items))
@@ -124,33 +177,42 @@ def crossover(lengths: list[int], capacity: int, into: Packing, source: Packing,
             kept.append(list(items))
         else:
             displaced.extend(i for i in items if i not in taken)
-    # Mutation: the worst-filled sequences dissolve too.
+    # Mutation: the worst-filled sequences dissolve too, and a few others.
     kept.sort(key=lambda items: -sum(lengths[i] for i in items))
     worst = len(kept) // 20 + 1
     displaced.extend(i for items in kept[-worst:] for i in items)
-    displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, capacity, displaced, [*kept[:-worst], *map(list, injected)])
+    return refilled(lengths, capacity, [*kept[:-worst], *map(list, injected)], displaced)
 
 
 def evolved(lengths: list[int], capacity: int, population: list[Packing], seed: int) -> list[Packing]:
-    """Generations of tournaments and crossovers; the worst gives way to a better child. Best first."""
+    """Generations of tournaments and crossovers, until ``STALE`` of them in a row gain nothing. A child takes the place of
+    the worst unless one as fit is there already. Best first."""
     dice = random.Random(seed)
     falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    while len(population) < POPULATION:
-        if population:
-            order = sorted(falling, key=lambda i: -lengths[i] * dice.uniform(0.9, 1.0))
-        else:
-            order = falling
-        population.append(best_fit(lengths, capacity, order))
-    scored = sorted(((fitness(lengths, capacity, p), p) for p in population), key=lambda x: -x[0])
     least = -(-sum(lengths) // capacity)
+
+    def scored(packing: Packing) -> tuple[int, float, Packing]:
+        return len(packing), -fitness(lengths, capacity, packing), packing
+
+    if not population:
+        population = [best_fit(lengths, capacity, falling)]
+    if min(map(len, population)) > least:
+        while len(population) < POPULATION:
+            # Ever less in order of length, so that parents differ.
+            spread = 1 - 0.15 * len(population)
+            order = sorted(falling, key=lambda i: -lengths[i] * dice.uniform(spread, 1.0))
+            population.append(best_fit(lengths, capacity, order))
+    ranked = sorted(map(scored, population), key=lambda x: x[:2])
+    idle = 0
     for _ in range(GENERATIONS):
-        if len(scored[0][1]) <= least:
+        if ranked[0][0] <= least or idle == STALE or len(ranked) < 2:
             break
-        mother, father = (min(dice.sample(range(len(scored)), 2)) for _ in range(2))
-        child = crossover(lengths, capacity, scored[mother][1], scored[father][1], dice)
-        scored = sorted([*scored, (fitness(lengths, capacity, child), child)], key=lambda x: -x[0])[:POPULATION]
-    return [p for _, p in scored]
+        mother, father = dice.sample(range(len(ranked)), 2)
+        child = scored(crossover(lengths, capacity, ranked[mother][2], ranked[father][2], dice))
+        idle = 0 if child[:2] < ranked[0][:2] else idle + 1
+        if all(child[:2] != other[:2] for other in ranked):
+            ranked = sorted([*ranked, child], key=lambda x: x[:2])[:POPULATION]
+    return [packing for _, _, packing in ranked]
 
 
 def _stored(population: list[Packing], size: int) -> bytes:

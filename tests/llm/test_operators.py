@@ -326,6 +326,35 @@ def test_crossover_keeps_every_item_once():
     assert packing._restored(packing._stored(population, 300), 300)[0].__len__() == len(population[0])
 
 
+def test_evolution_finds_what_best_fit_misses():
+    """200 sequences of three pieces each that fill them exactly, and lengths between a seventh and a half."""
+    import random
+
+    dice = random.Random(3)
+    triples = []
+    for _ in range(200):
+        a = dice.randint(780, 1000)
+        b = dice.randint(512, (2048 - a) // 2)
+        triples += [a, b, 2048 - a - b]
+    for lengths, share in ((triples, 0.9), ([dice.randint(300, 1200) for _ in range(2000)], 0.995)):
+        falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        plain = len(packing.best_fit(lengths, 2048, falling))
+        population = []
+        for epoch in range(2):
+            population = packing.evolved(lengths, 2048, population, epoch)
+        best = population[0]
+        assert sorted(i for items in best for i in items) == list(range(len(lengths)))
+        assert max(sum(lengths[i] for i in items) for items in best) <= 2048
+        assert -(-sum(lengths) // 2048) <= len(best) <= share * plain
+
+
+def test_displaced_pieces_take_the_place_of_smaller_ones():
+    lengths = [50, 30, 60, 35, 10, 90]
+    found = packing.refilled(lengths, 100, [[0, 1], [5]], [2, 3, 4])
+    assert sorted(i for items in found for i in items) == list(range(6))
+    assert len(found) == 3 and all(sum(lengths[i] for i in items) <= 100 for items in found)
+
+
 def test_rests_of_blocks_meet(spark, monkeypatch):
     """Pooling the rests of blocks takes fewer sequences than packing each block alone."""
     monkeypatch.setattr(packing, "BLOCK", 40)
@@ -413,3 +442,27 @@ def test_texts_in_parts_have_the_librarys_ids(name, cuts, monkeypatch):
         for array in (pa.array(some, pa.string()), pa.array([None, *some], pa.large_string()).slice(1)):
             assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(array)] == expected
     assert encoder.encode(pa.array([], pa.string())) == []
+
+
+def test_blocks_spread_over_salts(spark):
+    """One block in each of 64 partitions, and 64 salts: no salt holds more than a few."""
+    blocks = spark.range(0, 64, 1, 64).select(exact_topk.salt(64).alias("salt"))
+    sizes = [row["count"] for row in blocks.groupBy("salt").count().collect()]
+    assert len(sizes) > 30 and max(sizes) <= 5
+
+
+def test_queries_that_are_no_candidates_get_all_their_rows(spark):
+    """Scores far below the candidates' own squares."""
+    candidates = spark.createDataFrame([(i, [1, i]) for i in range(40)], "id long, vector array<long>")
+    queries = spark.createDataFrame([(100, [-900000, -5]), (101, [0, 0])], "id long, vector array<long>")
+    found = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in exact_topk.top_k(candidates, queries, 10).collect())
+    assert found == [(100, i + 1, i, -900000 - 5 * i) for i in range(10)] + [(101, i + 1, i, 0) for i in range(10)]
+
+
+def test_language_sample_shuffles_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sample = language_id.sampled(docs.select("doc_id", "text", "lang"), 300)
+    rows = sample.collect()
+    assert 200 < len(rows) < 400 and all(len(text) <= language_id.EXCERPT for row in rows for text in row["excerpts"])
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "hashpartitioning" not in plan
