@@ -1,7 +1,8 @@
 """Written tables that cut lineage.
 
 An intermediate result that is read more than once is written as parquet in a folder that all executors share: the
-context's checkpoint folder, else the one ``spark.checkpoint.dir`` names, else the warehouse. A lost executor then costs
+context's checkpoint folder, else the one ``spark.checkpoint.dir`` names, else the warehouse, unless that is a folder of one
+machine of a cluster. A lost executor then costs
 a re-read, and readers still get column pruning and true sizes for join planning. The tables of an application lie in
 a folder of its own; ``clear`` removes it once nothing that reads them is needed any more.
 """
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    shared = (
-        spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.checkpoint.dir", None)
-        or spark.conf.get("spark.sql.warehouse.dir")
-    )
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        if shared.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach: the warehouse is a local one")
     return f"{shared.rstrip('/')}/stayline-{spark.sparkContext.applicationId}"
 
 

@@ -21,6 +21,23 @@ def test_the_shared_folder(context, setting, expected):
     assert scratch.path(Session, "a") != scratch.path(Session, "a")
 
 
+def test_a_warehouse_on_one_machine_is_refused_on_a_cluster():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, *default):
+                return None if name == "spark.checkpoint.dir" else "file:/home/me/spark-warehouse"
+
+        class sparkContext:
+            applicationId, master = "app", "local[2]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    assert scratch.folder(Session) == "file:/home/me/spark-warehouse/stayline-app"
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.folder(Session)
+
+
 def test_written_table_keeps_rows_and_types(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(scratch, "folder", lambda _: f"{tmp_path}/tables")
     df = spark.sql("SELECT id, CAST(id AS DECIMAL(10,2)) AS d, CAST(NULL AS STRING) AS s FROM range(5)")
