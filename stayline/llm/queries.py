@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
+from .shared import written
 from . import byte_bpe, collocations, elias_fano, exact_dedup, exact_topk, jaccard_join, language_id, oracle, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, warc
 
 
@@ -61,14 +62,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     path = scratch.path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    records = warc.read(spark, path)
-    size = F.length("payload").cast("bigint")
-    sizes = (
-        records.where("record_type = 'response'").groupBy("payload_digest").agg(F.max(size).alias("payload_bytes"))
+    # Written without payloads: archives are parsed once for every use of their records.
+    records = written(
+        warc.read(spark, path).select(
+            "page_id", F.length("payload").cast("bigint").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
+        ),
+        "records",
     )
-    responses = records.where("record_type = 'response'").select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    revisits = records.where("record_type = 'revisit'").join(sizes, "payload_digest", "left")
-    return responses.unionByName(revisits.select(*responses.columns))
+    responses = records.where("record_type = 'response'")
+    sizes = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "payload_digest", "left")
+    return responses.unionByName(revisits)
 
 
 def held_out() -> F.Column:
