@@ -181,7 +181,7 @@ def verdict(rules: list[Rule]) -> Column:
     list_of = None
     for rule in rules:
         holds = F.expr(" AND ".join(f"({condition.sql()})" for condition in rule))
-        list_of = (list_of or F).when(holds, F.lit(False))
+        list_of = (F if list_of is None else list_of).when(holds, F.lit(False))
     return F.lit(True) if list_of is None else list_of.otherwise(F.lit(True))
 
 
