@@ -42,6 +42,8 @@ LONGEST = 8
 VERIFY = 4.0
 SHORT = 64
 BLOCK = 400_000
+#: Documents of a sieve block, and rows that other steps take at a time.
+SENT, ROWS = 2000, 500
 FRUITFUL = 4  # a star round is followed by another while it merges one in so many of the open sets
 _words = Words(lower=True)
 
@@ -70,8 +72,15 @@ def linked(left: np.ndarray, right: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(left) + len(right) - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: hashes take several times the room of their texts."""
     for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches, ROWS):
         found = [(len(x), name_of(x) if len(x) else None) for x in shingle_sets(batch["text"])]
         yield pa.RecordBatch.from_arrays(
             [
@@ -93,7 +102,7 @@ def _sender(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
-        for batch in batches:
+        for batch in _sliced(batches, SENT):
             prefixes: dict[int, np.ndarray] = {}
             for values in shingle_sets(batch["text"]):
                 if len(values):
@@ -203,7 +212,7 @@ def sieved(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema({"name": pa.int64(), "n": pa.int64(), "tokens": pa.binary()})
-    for batch in batches:
+    for batch in _sliced(batches, ROWS):
         rows = []
         for values, name in zip(shingle_sets(batch["text"]), batch["name"].to_pylist()):
             if len(values) and name_of(values) == name:
@@ -212,25 +221,23 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            some = batch.slice(start, 500)
-            values = [np.frombuffer(x.as_py(), np.int64) for x in some["tokens"]]
-            sizes = np.array([len(x) for x in values])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(values)),
-                    pa.array(np.repeat(some["name"].to_numpy(), sizes)),
-                    pa.array(np.repeat(sizes, sizes)),
-                ],
-                ["token", "name", "n"],
-            )
+    for batch in _sliced(batches, ROWS):
+        values = [np.frombuffer(x.as_py(), np.int64) for x in batch["tokens"]]
+        sizes = np.array([len(x) for x in values])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(values)),
+                pa.array(np.repeat(batch["name"].to_numpy(), sizes)),
+                pa.array(np.repeat(sizes, sizes)),
+            ],
+            ["token", "name", "n"],
+        )
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix of each set in order of frequency, lengthened to the least estimated cost. Shingles that no other set has
     come first and are known by number only."""
-    for batch in batches:
+    for batch in _sliced(batches, ROWS):
         lists = batch["shared"]
         bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         times, tokens = (lists.flatten().field(name).to_numpy() for name in ("times", "token"))
@@ -272,7 +279,7 @@ def prefixes(tokens: DataFrame) -> DataFrame:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches, ROWS):
         sides = [[np.frombuffer(x.as_py(), np.uint64) for x in batch[side]] for side in ("left", "right")]
         yield batch.filter(pa.array([linked(*pair) for pair in zip(*sides)], pa.bool_())).select(["a", "b"])
 
