@@ -1,7 +1,7 @@
 """Ids of whole texts from the tokenizers library, with each distinct part of a text encoded once per worker.
 
-A text is cut where no token can span the cut; parts met before keep their ids in a bounded memo. Parts are found, told
-apart and replaced by their ids as flat arrays over many texts.
+A text is cut where no token can span the cut; parts met before keep their ids in a bounded memo, which drops those it met
+once when it is full. Parts are found, told apart and replaced by their ids as flat arrays over many texts.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts that a worker remembers, and that go to the library at once.
-MEMO, LEARNT = 1_500_000, 1000
+#: Parts that a worker remembers until it drops the rare ones, and parts that go to the library at once.
+MEMO, LEARNT = 600_000, 1000
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -59,12 +59,22 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
             self.widths[list(vocabulary.values())] = [len(word) for word in vocabulary]
-        self._forget()
+        # Each known part's number; where its ids begin, how many they are, how often it was met; all ids.
+        self.memo: dict[bytes, int] = {}
+        self.first, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
 
     def _forget(self) -> None:
-        """Each known part's number, where its ids begin and how many they are, and all ids."""
-        self.memo: dict[bytes, int] = {}
-        self.first, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        """Keep the parts met most, half a memo of them at most, and none that was met once."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > MEMO // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: MEMO // 2]])
+        names = list(self.memo)
+        self.memo = {names[at]: number for number, at in enumerate(kept)}
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.first[kept] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        self.first, self.sizes, self.uses = ends - sizes, sizes, self.uses[kept]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
@@ -82,7 +92,9 @@ class Encoder:
         unknown = np.flatnonzero(numbers < 0)
         numbers[unknown] = len(self.memo) + np.arange(len(unknown))
         self._learn([distinct[at] for at in unknown])
-        part = numbers[found.indices.to_numpy()]
+        places = found.indices.to_numpy()
+        self.uses[numbers] += np.bincount(places, minlength=len(numbers))
+        part = numbers[places]
         sizes = self.sizes[part]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.first[part] - (ends - sizes), sizes) + np.arange(sizes.sum())]
@@ -131,6 +143,7 @@ class Encoder:
             known += len(new)
         self.memo.update(zip(unknown, range(len(self.memo), len(self.memo) + len(unknown))))
         self.first, self.sizes, self.ids = np.concatenate(firsts), np.concatenate(sizes), np.concatenate(ids)
+        self.uses = np.concatenate([self.uses, np.zeros(len(unknown), np.int64)])
 
 
 def loaded(path: str, cuts: str) -> Encoder:
