@@ -312,16 +312,28 @@ def _cells(rows: DataFrame, part: str) -> DataFrame:
     )
 
 
-def _metrics_document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value of the metrics document of scorecard scores, with its part, place in a list and field."""
-    document = scratch.table(Analysis(raw(spark, sf_dir), scorer=with_scorecard).metrics_document(), "document")
-    parts = [_cells(document.selectExpr("0 AS place", path), part) for part, path in DOCUMENT_RECORDS.items()]
-    for part, path in DOCUMENT_LISTS.items():
+def _document_cells(document: DataFrame, records: dict[str, str], lists: dict[str, str]) -> DataFrame:
+    """Every value of a metrics document, with its part, place in a list and field."""
+    document = scratch.table(document, "document")
+    parts = [_cells(document.selectExpr("0 AS place", path), part) for part, path in records.items()]
+    for part, path in lists.items():
         listed = document.selectExpr(f"posexplode({path}) AS (place, record)").selectExpr("place", "record.*")
         parts.append(_cells(listed, part))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _metrics_document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics document of scorecard scores."""
+    document = Analysis(raw(spark, sf_dir), scorer=with_scorecard).metrics_document()
+    return _document_cells(document, DOCUMENT_RECORDS, DOCUMENT_LISTS)
+
+
+def _metrics_document_fitted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics document as it is, its scores from the fitted model."""
+    sides = {f"top_{side}_terms": f"model.top_{side}_terms" for side in ("risk", "protective")}
+    return _document_cells(_metrics_document(spark, sf_dir), DOCUMENT_RECORDS | {"model": "model.*"}, DOCUMENT_LISTS | sides)
+
+
 #: Fields of the document's records that the queries of the same contents don't have.
 DOCUMENT_OWN = ("customers", "monthly_recurring_revenue", "groups")
 
@@ -428,6 +440,7 @@ QUERIES: dict[str, Query] = {
     "top_terms": _on_staged(lambda book: model.top_terms(_coefficients(book))),
     "metrics_document": _metrics_document,
     "metrics_document_cells": _metrics_document_cells,
+    "metrics_document_fitted_cells": _metrics_document_fitted_cells,
     "metrics_document_parts": _metrics_document_parts,
 }
 
