@@ -3,6 +3,9 @@
 In a round every node moves to the smallest label among itself and its neighbours, moves are followed once more, and the
 edges are drawn between the new labels. Each component with an edge left loses at least its nodes that are no local
 minimum, so the rounds grow with the logarithm of the longest chain. All steps are aggregates and joins.
+
+Results: edges of a node with itself or with a null end are left out, repeated ones count once; a node without other edges has
+no row; without edges the result is empty.
 """
 
 from __future__ import annotations
