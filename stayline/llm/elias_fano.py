@@ -176,7 +176,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cuts: str = "
                     size += len(row) // 4 + 1
         if rows:
             yield closed()
-        encoder.trim()
 
     ordered = (
         docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("tie"))

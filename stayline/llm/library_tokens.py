@@ -1,7 +1,7 @@
 """Ids of whole texts from the tokenizers library, with each distinct part of a text encoded once per worker.
 
-A text is cut where no token can span the cut; parts met before keep their ids in a bounded memo, which drops those it met
-once when it is full and after every task. Parts are found, told apart and replaced by their ids as flat arrays over many texts.
+A text is cut where no token can span the cut; parts met before keep their ids in a bounded memo, which keeps those met
+most when it is full. Parts are found, told apart and replaced by their ids as flat arrays over many texts.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts that a worker remembers at most, and parts that go to the library at once.
-MEMO, LEARNT = 1_500_000, 1000
+#: Parts that a worker remembers at most, and between tasks if others need the memory; parts that go to the library at once.
+MEMO, WAITING, LEARNT = 1_500_000, 500_000, 1000
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -64,12 +64,11 @@ class Encoder:
         self.first, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, "<u4")
 
-    def trim(self) -> None:
-        """Keep the parts met most, half a memo of them at most, and none that was met once. To be called after a task, so that
-        a worker waits for the next one with little in memory."""
-        kept = np.flatnonzero(self.uses > 1)
-        if len(kept) > MEMO // 2:
-            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: MEMO // 2]])
+    def trim(self, most: int) -> None:
+        """Keep so many parts at most: those met most often, and of these the latest."""
+        if len(self.memo) <= most:
+            return
+        kept = np.sort(np.lexsort((-np.arange(len(self.uses)), -self.uses))[:most])
         names = list(self.memo)
         self.memo = {names[at]: number for number, at in enumerate(kept)}
         sizes = self.sizes[kept]
@@ -86,7 +85,7 @@ class Encoder:
         plain = pc.if_else(pa.array(named), "", pc.fill_null(texts, ""))
         parts, counts = self._parts(plain)
         if len(self.memo) > MEMO:
-            self.trim()
+            self.trim(MEMO // 2)
         found = parts.dictionary_encode()
         distinct = found.dictionary.to_pylist()
         numbers = np.fromiter((-1 if x is None else x for x in map(self.memo.get, distinct)), np.int64, len(distinct))

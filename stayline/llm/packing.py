@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cuts: st
                         ]
                     )
             yield pa.array(rows, kind)
-        encoder.trim()
+        encoder.trim(library_tokens.WAITING)
 
     others = [F.col("`" + name.replace("`", "``") + "`") for name in docs.columns if name not in ("text", "piece", "start", "length", "ids")]
     return docs.select(*others, F.inline(cut("text")))
