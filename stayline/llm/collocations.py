@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .phrase_machines import Machine, added, built
-from .shared import BASE, mixed, pieces_of, signed, utf8, written
+from .shared import BASE, mixed, partitions, pieces_of, signed, utf8, written
 
 LEAST = 30
 LONGEST = 4
@@ -236,8 +236,11 @@ def _ranges_for(size: int) -> int:
 
 def machines_of(docs: DataFrame, depth: int, size: int, seed: int, words: Sieve = None, pairs: Sieve = None) -> DataFrame:
     """One machine for each language and prefix range."""
-    shards = docs.mapInArrow(_shards(depth, _ranges_for(size), seed, words, pairs), MACHINES)
-    return written(shards.groupBy("lang", "range").applyInArrow(_united, MACHINES), "machines")
+    ranges = _ranges_for(size)
+    shards = docs.mapInArrow(_shards(depth, ranges, seed, words, pairs), MACHINES)
+    # Tasks grow in number with the ranges, so that each reads a few of them at any size.
+    dealt = shards.repartition(max(partitions(docs.sparkSession), ranges), "lang", "range")
+    return written(dealt.groupBy("lang", "range").applyInArrow(_united, MACHINES), "machines")
 
 
 PHRASES = "lang string, phrase array<long>, a long, key long, word binary"
