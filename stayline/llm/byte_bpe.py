@@ -21,12 +21,15 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 MEMO = 700_000
 #: Characters of text whose words are one corpus.
 CORPUS = 1_000_000
+#: Ids decoded at a time.
+DECODED = 1 << 18
 # The characters of Unicode's White_Space property, as the rank files' pattern sees them.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A superset of every split the pattern makes at white space: no match of the pattern spans two of these parts.
@@ -50,6 +53,11 @@ class Replay:
             [[self.ranks.get(bytes([left, right]), -1) for right in range(256)] for left in range(256)]
         )
         self.memo: dict[str, bytes] = {}
+        # Bytes of all tokens in a row, and where each token's begin.
+        sizes = np.zeros(max(self.bytes_of) + 1, dtype=np.int64)
+        sizes[list(self.bytes_of)] = [len(token) for token in self.bytes_of.values()]
+        self.token_sizes, self.token_starts = sizes, np.cumsum(sizes) - sizes
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of[rank] for rank in sorted(self.bytes_of)), np.uint8)
 
     def rank_of(self, left: int, right: int) -> int:
         """Rank of the token that a pair merges into, -1 if it doesn't merge."""
@@ -158,8 +166,16 @@ class Replay:
         rows = [b"".join(map(self.memo.__getitem__, row)) for row in parts]
         return np.array([len(row) // 4 for row in rows], dtype=np.int64), b"".join(rows)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, and the number of bytes before each id and after the last."""
+        bounds = np.concatenate([[0], np.cumsum(self.token_sizes[ids])])
+        parts = []
+        for at in range(0, len(ids), DECODED):
+            some = ids[at : at + DECODED]
+            sizes = self.token_sizes[some]
+            before = np.cumsum(sizes) - sizes
+            parts.append(self.token_bytes[np.repeat(self.token_starts[some] - before, sizes) + np.arange(sizes.sum())].tobytes())
+        return b"".join(parts), bounds
 
 
 def loaded(path: str, pattern: str) -> Replay:
@@ -190,7 +206,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str =
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         replay = loaded(path, pattern)
         for batch in batches:
-            yield pa.array([replay.decode(row or []) for row in batch.to_pylist()], type=pa.binary())
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+            data, bounds = replay.decode(batch.flatten().to_numpy())
+            offsets = bounds[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int64)
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+            yield pa.Array.from_buffers(pa.large_binary(), len(batch), buffers).cast(pa.binary())
 
     return df.withColumn(into, bytes_of(_column(ids)))
 
