@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers at most, and between tasks if others need the memory; parts that go to the library at once.
-MEMO, WAITING, LEARNT = 1_500_000, 500_000, 1000
+MEMO, WAITING, LEARNT = 900_000, 500_000, 1000
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -85,7 +85,7 @@ class Encoder:
         plain = pc.if_else(pa.array(named), "", pc.fill_null(texts, ""))
         parts, counts = self._parts(plain)
         if len(self.memo) > MEMO:
-            self.trim(MEMO // 2)
+            self.trim(MEMO * 2 // 3)
         found = parts.dictionary_encode()
         distinct = found.dictionary.to_pylist()
         numbers = np.fromiter((-1 if x is None else x for x in map(self.memo.get, distinct)), np.int64, len(distinct))
