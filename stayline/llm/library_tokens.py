@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers at most, and between tasks if others need the memory; parts that go to the library at once.
-MEMO, WAITING, LEARNT = 900_000, 500_000, 1000
+MEMO, WAITING, LEARNT = 1_300_000, 500_000, 1000
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
