@@ -164,8 +164,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cuts: str = "
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                some = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 1000):
+                some = batch.slice(first, 1000)
                 for name, row in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"])):
                     if rows and size + len(row) // 4 + 1 > SEGMENT_IDS:
                         yield closed()
@@ -176,6 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cuts: str = "
                     size += len(row) // 4 + 1
         if rows:
             yield closed()
+        encoder.trim(library_tokens.WAITING)
 
     ordered = (
         docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("tie"))

@@ -19,6 +19,9 @@ _encoders: dict[tuple[str, str], "Encoder"] = {}
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 # First bytes of letters that are white space nowhere: ASCII but for its white space, and U+00C0 to U+07FF.
 CLEAR = np.isin(np.arange(256), [*range(128), *range(0xC3, 0xE0)]) & ~GAP
+# A stop after a letter begins a part: words with and without one are the same word.
+LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+STOP = np.isin(np.arange(256), list(b".,;:!?"))
 
 
 def byte_level(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -29,7 +32,7 @@ def byte_level(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     before[2:] |= (codes[1:-1] >= 128) & (codes[:-2] >= 0xC3) & (codes[:-2] < 0xE0)
     begins = before & GAP[codes]
     lone = begins & (codes == 10)
-    begins[1:] |= lone[:-1] & CLEAR[codes[1:]]
+    begins[1:] |= lone[:-1] & CLEAR[codes[1:]] | LETTER[codes[:-1]] & STOP[codes[1:]]
     return begins, None
 
 
@@ -37,7 +40,7 @@ def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """For vocabularies that drop white space: parts between spaces and line feeds, which go."""
     keep = (codes != 32) & (codes != 10)
     begins = keep.copy()
-    begins[1:] &= ~keep[:-1]
+    begins[1:] &= ~keep[:-1] | LETTER[codes[:-1]] & STOP[codes[1:]]
     return begins, keep
 
 

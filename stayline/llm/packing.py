@@ -58,8 +58,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cuts: st
         )
         for batch in batches:
             rows = []
-            for first in range(0, len(batch), 500):
-                for row in encoder.encode(batch.slice(first, 500)):
+            for first in range(0, len(batch), 1000):
+                for row in encoder.encode(batch.slice(first, 1000)):
                     row += end
                     size = len(row) // 4
                     bounds = [0, *range(size % capacity or capacity, size + 1, capacity)]
