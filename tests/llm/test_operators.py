@@ -104,6 +104,44 @@ def test_replay_with_ranks_out_of_order(tmp_path):
     assert replay.replay(words) == [replay.one_word(word) for word in words]
 
 
+def test_byte_bpe_holds_little_of_a_batch(monkeypatch):
+    """What a worker remembers, merges and hands on at a time is bounded, whatever the batch; ids and bytes stay the same."""
+    import random
+
+    for name, most in {"MEMO": 300, "IDS": 4000, "PAIRS": 500, "TEXT": 2000, "CORPUS": 500, "DECODED": 100}.items():
+        monkeypatch.setattr(byte_bpe, name, most)
+    dice = random.Random(3)
+    letters = list(" \n\t\r\x0b\x1c\x85\xa0\u2003\u3000aBéßà日本1!.,😀") + [" ", " ", "\n", "'s", "don't", "...", "the", "ation"]
+    texts = ["".join(dice.choice(letters) for _ in range(dice.randrange(40))) for _ in range(3000)]
+    texts += [None, "", " ", "y" * 5000, "日本" * 3000, None, *("".join(dice.choices("abcdefgh", k=900)) for _ in range(20)), "end"]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    replay = byte_bpe.Replay(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids, remembered = [], []
+    for part in replay.encode_batch(pa.array([None, *texts], pa.string()).slice(1)):
+        assert len(part) == 1 or sum(map(len, part.to_pylist())) <= 2000
+        remembered.append((len(replay.memo), len(replay.ids)))
+        ids += part.to_pylist()
+    assert ids == [library.encode_ordinary(text or "") for text in texts]
+    assert max(n for n, _ in remembered) <= 300 + 2000 and max(n for _, n in remembered) <= 4000 + 6 * 3000
+    decoded = list(replay.decode_batch(pa.array([[0], None, *ids], pa.list_(pa.int32())).slice(1)))
+    assert max(map(len, decoded)) < 500
+    assert [x for part in decoded for x in part.to_pylist()] == [b"", *((text or "").encode() for text in texts)]
+    for nothing in (replay.encode_batch(pa.array([], pa.string())), replay.decode_batch(pa.array([], pa.list_(pa.int32())))):
+        assert [len(part) for part in nothing] == [0]
+
+
+def test_byte_bpe_of_texts_longer_than_a_slice(spark):
+    texts = [None, "a", "some words, " * 300_000, "", None, "b c", "z" * 100_000, "é. " * 50_000, "d"]
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = sorted(byte_bpe.decode(byte_bpe.encode(docs, *vocabulary), *vocabulary).collect())
+    assert [row["doc_id"] for row in rows] == list(range(len(texts)))
+    for text, row in zip(texts, rows):
+        assert list(row["ids"]) == library.encode_ordinary(text or "")
+        assert bytes(row["decoded"]) == (text or "").encode()
+
+
 # 4: top k
 
 
