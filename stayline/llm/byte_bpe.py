@@ -31,7 +31,7 @@ from .library_tokens import Encoder, byte_level
 #: Parts, their ids in all, and ranks of pairs that a worker remembers at most when it goes on to more text.
 MEMO, IDS, PAIRS = 300_000, 4_000_000, 300_000
 #: Bytes of text cut at a time, and of words that are one corpus.
-TEXT, CORPUS = 1 << 21, 1 << 18
+TEXT, CORPUS = 1 << 19, 1 << 17
 #: Ids decoded at a time.
 DECODED = 1 << 16
 
